@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuloom.llm import leakage, mixing, neardup, overlap, repetition, tokens
+from corpuloom.llm import answers, leakage, mixing, neardup, overlap, repetition, tokens
 from corpuloom.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,25 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.shares(table(spark, d, "outputs"))
 
 
+def _answered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "outputs"), table(spark, d, "dpo_samples"), table(spark, d, "samples")
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defects(*_answered(spark, d)).select("origin", "rec_id", "pos", "defect")
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.truncated(*_answered(spark, d)).select("origin", "rec_id", "pos")
+
+
+@query
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return answers.truncation_rates(*_answered(spark, d))
+
+
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.find(*_samples(spark, d))
