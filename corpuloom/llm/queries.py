@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuloom.llm import answers, leakage, mixing, neardup, overlap, repetition, tokens
+from corpuloom.llm import answers, leakage, mixing, neardup, overlap, repetition, tokens, toxicity
 from corpuloom.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,19 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.find(table(spark, d, "documents"), table(spark, d, "tox_labels"))
+
+
+@query
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, d, "tox_labels")))
+
+
+@query
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(table(spark, d, "documents"), table(spark, d, "tox_labels"))
