@@ -157,7 +157,7 @@ def cut(texts: list[str | None]) -> Sentences:
     # marks between Han characters, and between letters that stand alone, go; so do repeats of three and more
     lone = latin & ~_shift(latin, 1) & ~_shift(latin, -1)
     gone = mark & ((_shift(han, 1) & _shift(han, -1) & (cps != 42)) | (_shift(lone, 1) & _shift(lone, -1)))
-    same = cps == _shift(cps, -1)
+    same = (cps == _shift(cps, -1)) & (doc == _shift(doc, -1))  # every text keeps its end
     stretched = same & (_shift(same, 1) | _shift(same, -1))
     digit = (cps >= 48) & (cps <= 57)
     cps = np.where(digit, np.uint32(48), cps)
