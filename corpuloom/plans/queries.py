@@ -313,8 +313,8 @@ _CTE_GRADED = """
 graded AS (SELECT id, run_name AS run, arg_max(set_name, out_id) AS set_name, CASE WHEN max(out_id) % 7 <> 0 THEN max(out_id) % 5 IN (0, 1, 2) END AS correct FROM outputs WHERE id IS NOT NULL GROUP BY id, run_name),
 tally AS (SELECT run, set_name, count(*) AS n, count(*) FILTER (correct) AS correct, count(*) FILTER (correct IS NULL) AS abstained FROM graded GROUP BY ALL),
 rates AS (SELECT *, correct / n AS acc, abstained / n AS abstain_rate, correct / n AS p, CAST(n AS DOUBLE) AS m FROM tally),
-wilson AS (SELECT run, set_name, n, correct, abstained, acc, abstain_rate, greatest(0.0::DOUBLE, (p + 3.8416::DOUBLE / (2.0::DOUBLE * m)) / (1.0::DOUBLE + 3.8416::DOUBLE / m) - 1.96::DOUBLE * sqrt(p * (1.0::DOUBLE - p) / m + 3.8416::DOUBLE / (4.0::DOUBLE * m * m)) / (1.0::DOUBLE + 3.8416::DOUBLE / m)) AS ci_low,
-least(1.0::DOUBLE, (p + 3.8416::DOUBLE / (2.0::DOUBLE * m)) / (1.0::DOUBLE + 3.8416::DOUBLE / m) + 1.96::DOUBLE * sqrt(p * (1.0::DOUBLE - p) / m + 3.8416::DOUBLE / (4.0::DOUBLE * m * m)) / (1.0::DOUBLE + 3.8416::DOUBLE / m)) AS ci_high FROM rates)"""
+wilson AS (SELECT run, set_name, n, correct, abstained, acc, abstain_rate, greatest(0.0::DOUBLE, (p + (1.96::DOUBLE * 1.96::DOUBLE) / (2.0::DOUBLE * m)) / (1.0::DOUBLE + (1.96::DOUBLE * 1.96::DOUBLE) / m) - 1.96::DOUBLE * sqrt(p * (1.0::DOUBLE - p) / m + (1.96::DOUBLE * 1.96::DOUBLE) / (4.0::DOUBLE * m * m)) / (1.0::DOUBLE + (1.96::DOUBLE * 1.96::DOUBLE) / m)) AS ci_low,
+least(1.0::DOUBLE, (p + (1.96::DOUBLE * 1.96::DOUBLE) / (2.0::DOUBLE * m)) / (1.0::DOUBLE + (1.96::DOUBLE * 1.96::DOUBLE) / m) + 1.96::DOUBLE * sqrt(p * (1.0::DOUBLE - p) / m + (1.96::DOUBLE * 1.96::DOUBLE) / (4.0::DOUBLE * m * m)) / (1.0::DOUBLE + (1.96::DOUBLE * 1.96::DOUBLE) / m)) AS ci_high FROM rates)"""
 
 
 @query(f"WITH {_CTE_GRADED} SELECT * FROM wilson")
@@ -496,10 +496,10 @@ def axis_ends(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", nice_max(F.col("o_orderkey").cast("double") + 0.5).alias("axis_end"))
 
 
-@query("SELECT i, p_partkey FROM (SELECT generate_series AS i FROM generate_series(0, 99999)) JOIN part ON i % (SELECT count(*) FROM part) = p_partkey - 1")
+@query("SELECT i, p_partkey FROM (SELECT generate_series AS i FROM generate_series(0, 99999)) JOIN part ON i % (SELECT count(*) FROM part) = p_partkey")
 def round_robin(spark: SparkSession, d: str) -> DataFrame:
     """A hundred thousand requests over all prompts in turn."""
-    prompts = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") - 1).alias("ord"))
+    prompts = table(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("ord"))
     return sampling.round_robin(prompts, 100_000).select("i", "p_partkey")
 
 
