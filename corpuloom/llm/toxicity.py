@@ -9,8 +9,8 @@ links; while a link is trained, it sees *out-of-fold* probabilities of the earli
 fitted values would be too good. A document's score is that of its worst sentence.
 
 Labels are per document, so the toxic sentences of a toxic document are chosen first: those whose
-n-grams occur in other toxic documents and hardly in harmless ones, more so than in all
-but a stray share of harmless sentences. Cue words tell the categories of chosen sentences. The
+n-grams occur in other toxic documents and hardly in harmless ones, as long as most sentences
+with as much of such evidence are of toxic documents. Cue words tell the categories of chosen sentences. The
 counter-examples are sentences of documents that reviewers call harmless, first of all those most
 like toxic ones: this is how clinical language and reported insults are learned. Disagreeing
 reviews are not used.
@@ -50,10 +50,11 @@ STEPS = 30
 RIDGE = 2e-6
 #: An n-gram counts in training from so many documents on.
 MIN_DOCS = 3
-#: Log odds up to which an n-gram is no evidence (toxic documents may abound in a source); share of
-#: harmless sentences with as much evidence as a chosen one.
+#: Log odds up to which an n-gram is no evidence (toxic documents may abound in a source).
 CLEAR = 2.5
-STRAY = 0.001
+#: Sentences are chosen as long as, of RUN sentences with about as much evidence, so many are of
+#: toxic documents (the others are reviewers' mistakes).
+PURE, RUN = 0.7, 40
 #: Harmless sentences in training: those with most evidence, others, and in each of two rounds those
 #: that a first fit takes for toxic most of all.
 HARD, EASY, MINED = 2_000, 3_000, 3_000
@@ -320,8 +321,16 @@ def train(texts: list[str], labels: list[int]) -> Chain:
     owner, slot = features(cut_up)
     toxic = label[doc] == 1
     strength, docs = _evidence(owner, slot, doc, label, n)
-    harmless_strength = np.sort(strength[~toxic])
-    chosen = toxic & (strength > harmless_strength[int(len(harmless_strength) * (1 - STRAY))])
+    # down to the evidence from which on fewer than PURE of the sentences are of toxic documents
+    order = np.argsort(-strength, kind="stable")
+    order = order[strength[order] > 0]
+    seen = np.cumsum(np.append(0, toxic[order]))
+    run = min(RUN, len(order))
+    pure = (seen[run:] - seen[: len(seen) - run]) / max(run, 1) if run else np.zeros(0)
+    below = np.flatnonzero(pure < PURE)
+    chosen = np.zeros(n, bool)
+    chosen[order[: below[0] + run // 2 if len(below) else len(order)]] = True
+    chosen &= toxic
     if not chosen.any():
         return empty
     # harmless sentences: those most like toxic ones, and others by hash
