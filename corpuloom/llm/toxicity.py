@@ -10,7 +10,8 @@ fitted values would be too good. A document's score is that of its worst sentenc
 
 Labels are per document, so the toxic sentences of a toxic document are chosen first: those whose
 n-grams occur in other toxic documents and hardly in harmless ones, as long as most sentences
-with as much of such evidence are of toxic documents. Cue words tell the categories of chosen sentences. The
+with as much of such evidence are of toxic documents; where there is none, its sentences with a
+category's cue words. Cue words also tell the categories of chosen sentences. The
 counter-examples are sentences of documents that reviewers call harmless, first of all those most
 like toxic ones: this is how clinical language and reported insults are learned. Disagreeing
 reviews are not used.
@@ -55,6 +56,8 @@ CLEAR = 2.5
 #: Sentences are chosen as long as, of RUN sentences with about as much evidence, so many are of
 #: toxic documents (the others are reviewers' mistakes).
 PURE, RUN = 0.7, 40
+#: Sentences are not chosen by a cue alone if harmless documents have such a share of their n-grams.
+FAMILIAR = 0.5
 #: Harmless sentences in training: those with most evidence, others, and in each of two rounds those
 #: that a first fit takes for toxic most of all.
 HARD, EASY, MINED = 2_000, 3_000, 3_000
@@ -277,10 +280,11 @@ def _predict(data: _Data, w: np.ndarray, c: np.ndarray, b: float, extra: np.ndar
     return _sigmoid(np.bincount(data.owner, weights=w[data.slot] * data.value, minlength=data.n) + extra @ c + b)
 
 
-def _evidence(owner: np.ndarray, slot: np.ndarray, doc: np.ndarray, label: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """How strongly a sentence's n-grams belong to toxic documents, its own document left out; documents per slot.
+def _evidence(owner: np.ndarray, slot: np.ndarray, doc: np.ndarray, label: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How strongly a sentence's n-grams belong to toxic documents, its own document left out; which
+    share of them some harmless documents have; documents per slot.
 
-    The sum of the log odds beyond CLEAR of a sentence's n-grams.
+    The first is the sum of the log odds beyond CLEAR of a sentence's n-grams.
     """
     slots = 1 << LOG2_SLOTS
     pair = np.unique(doc[owner].astype(np.int64) << LOG2_SLOTS | slot)
@@ -292,7 +296,8 @@ def _evidence(owner: np.ndarray, slot: np.ndarray, doc: np.ndarray, label: np.nd
     t = toxic[slot] - mine
     h = docs[slot] - toxic[slot] - ~mine
     odds = np.log((t + 0.5 * share) / (h + 0.5 * (1 - share)) * ((1 - share) / share))
-    return np.bincount(owner, weights=np.maximum(odds - CLEAR, 0), minlength=n), docs
+    familiar = np.bincount(owner, weights=h >= 2, minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
+    return np.bincount(owner, weights=np.maximum(odds - CLEAR, 0), minlength=n), familiar, docs
 
 
 def _part(owner: np.ndarray, slot: np.ndarray, n: int, use: np.ndarray, docs: np.ndarray) -> _Data:
@@ -320,7 +325,7 @@ def train(texts: list[str], labels: list[int]) -> Chain:
     doc, n = cut_up.doc, len(cut_up.doc)
     owner, slot = features(cut_up)
     toxic = label[doc] == 1
-    strength, docs = _evidence(owner, slot, doc, label, n)
+    strength, familiar, docs = _evidence(owner, slot, doc, label, n)
     # down to the evidence from which on fewer than PURE of the sentences are of toxic documents
     order = np.argsort(-strength, kind="stable")
     order = order[strength[order] > 0]
@@ -331,6 +336,12 @@ def train(texts: list[str], labels: list[int]) -> Chain:
     chosen = np.zeros(n, bool)
     chosen[order[: below[0] + run // 2 if len(below) else len(order)]] = True
     chosen &= toxic
+    # toxic documents whose words no other one has: their sentences with a cue, if any
+    rows = cut_up.strings()
+    patterns = [_cue_pattern(c) for c in CATEGORIES[:-1]]
+    explained = np.bincount(doc[chosen], minlength=len(texts)) > 0
+    for i in np.flatnonzero(toxic & ~explained[doc] & (familiar < FAMILIAR)):
+        chosen[i] = any(p.search(rows[i]) for p in patterns)
     if not chosen.any():
         return empty
     # harmless sentences: those most like toxic ones, and others by hash
@@ -349,12 +360,10 @@ def train(texts: list[str], labels: list[int]) -> Chain:
         mined = np.argsort(-z, kind="stable")[:MINED]
         use = np.sort(np.concatenate([use, mined[np.isfinite(z[mined])]]))
     data = _part(owner, slot, n, use, docs)
-    rows = cut_up.strings()
     y_all, doc_u, rows_u = chosen[use], doc[use], [rows[i] for i in use]
     fold = (mix64(doc_u.astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
     cue = np.zeros((len(use), links - 1), bool)
-    for k in range(links - 1):
-        found = _cue_pattern(CATEGORIES[k])
+    for k, found in enumerate(patterns):
         cue[:, k] = [y and bool(found.search(s)) for y, s in zip(y_all.tolist(), rows_u)]
     earlier = np.zeros((len(use), 0))
     grams, coef, bias = [], np.zeros((links, links)), np.zeros(links)
