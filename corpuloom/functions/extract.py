@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuloom.functions.text import last, py_strip, sorted_letters
+from corpuloom.functions.text import filled, last, let, py_strip, sorted_letters
 
 #: Only the end of an output is read.
 TAIL = 2000
@@ -32,20 +32,20 @@ def _tail(output: Column) -> Column:
 def extract_choice(output: Column) -> Column:
     """Letters of the last declaration: upper case, distinct, sorted; null where none is declared.
 
-    Declarations are searched by one alternation, so that the last one is the last of the array;
-    groups that take no part are empty there.
+    One alternation searches for all declarations in one pass, so that the last one is the last of
+    the array; its letters are read from the short match.
     """
-    tail = _tail(output)
-    letters = F.concat(*(F.coalesce(last(F.regexp_extract_all(tail, F.lit(CHOICE), F.lit(g))), F.lit("")) for g in (1, 2, 3)))
-    return F.nullif(sorted_letters(F.upper(F.regexp_replace(letters, "[^A-Ja-j]", ""))), F.lit(""))
+    declared = last(F.regexp_extract_all(_tail(output), F.lit(CHOICE), F.lit(0)))
+    letters = let(declared, lambda d: F.concat(*(F.regexp_extract(d, CHOICE, g) for g in (1, 2, 3))))
+    return filled(sorted_letters(F.upper(F.regexp_replace(letters, "[^A-Ja-j]", ""))))
 
 
 def extract_text(output: Column) -> Column:
     """Last boxed text, else the last answer line; null where none is declared."""
     tail = F.right(output, F.lit(TAIL))
     boxed = py_strip(last(F.regexp_extract_all(tail, F.lit(BOXED_TEXT), F.lit(1))))
-    line = F.nullif(F.regexp_replace(py_strip(last(F.regexp_extract_all(tail, F.lit(DECLARED_TEXT), F.lit(1)))), CLOSING, ""), F.lit(""))
-    return F.when(boxed.isNotNull(), F.nullif(F.regexp_replace(boxed, CLOSING, ""), F.lit(""))).otherwise(line)
+    line = py_strip(last(F.regexp_extract_all(tail, F.lit(DECLARED_TEXT), F.lit(1))))
+    return filled(F.regexp_replace(F.coalesce(boxed, line), CLOSING, ""))
 
 
 def extract(output: Column, is_choice: Column) -> Column:
@@ -63,7 +63,7 @@ def split_thinking(output: Column) -> tuple[Column, Column]:
 def keep_ends(text: Column, most: int) -> Column:
     """A text longer than ``most`` characters without its middle."""
     half = most // 2
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(half)), F.lit(OMITTED), F.right(text, F.lit(half)))).otherwise(text)
+    return let(text, lambda t: F.when(F.length(t) > most, F.concat(F.left(t, F.lit(half)), F.lit(OMITTED), F.right(t, F.lit(half)))).otherwise(t))
 
 
 def judge_reply(reply: Column) -> Column:

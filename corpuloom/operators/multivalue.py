@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuloom.functions.text import py_strip
+from corpuloom.functions.text import let, py_strip
 
 #: Words before an answer, quotes of any kind, delimiters.
 INTRODUCTION = r"(?i)^\s*(?:(?:最终|正确|参考|标准)?答案(?:是|为)?|本题选|应选|故选|选|(?:the\s+)?(?:correct\s+)?answers?(?:\s+(?:is|are))?)\s*[:：]?\s*"
@@ -55,29 +55,36 @@ def _letters(piece: Column) -> Column:
 
 def values(answer: Column, options: Column) -> Column:
     """array<string> of the values of a field, in the order written. ``options``: the row's option texts."""
-    marked = _marked(answer)
+    found = let(_marked(answer), lambda marked: _values(py_strip(answer), marked, options))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def _values(answer: Column, marked: Column, options: Column) -> Column:
     half = F.translate(marked, FULL_WIDTH, HALF_WIDTH)
 
     def known(t: Column) -> Column:
         return F.array_contains(options, t)
 
     def values_of(piece: Column) -> Column:
-        clean = py_strip(F.regexp_replace(F.replace(piece, F.lit(DOUBLED), F.lit('"')), r"[。．.]+\s*$", ""))
-        folded = F.translate(clean, FULL_WIDTH, HALF_WIDTH)
-        return F.when(known(clean), F.array(clean)).when(folded.rlike(LETTERS), _letters(folded)).otherwise(F.array().cast("array<string>"))
+        def read(clean: Column) -> Column:
+            folded = F.translate(clean, FULL_WIDTH, HALF_WIDTH)
+            return F.when(known(clean), F.array(clean)).when(folded.rlike(LETTERS), _letters(folded)).otherwise(F.array().cast("array<string>"))
+
+        return let(py_strip(F.regexp_replace(F.replace(piece, F.lit(DOUBLED), F.lit('"')), r"[。．.]+\s*$", "")), read)
 
     # an even piece is cut at delimiters, but the row's own texts (the longest first) stay whole
     longest_first = F.array_sort(options, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
     quoted = F.transform(longest_first, lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
     own = F.concat(F.lit("(?:"), F.array_join(quoted, "|"), F.lit(rf")(?=\s*(?:[{DELIMITERS}和。.]|$))|"))
-    cutter = F.concat(F.when(F.size(options) > 0, own).otherwise(F.lit("")), F.lit(rf"[^\s{DELIMITERS}][^{DELIMITERS}]*"))
-    pieces = F.transform(
-        F.split(marked, QUOTE),
-        lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(F.regexp_extract_all(F.replace(p, F.lit(DOUBLED), F.lit('""')), cutter, F.lit(0))),
-    )
+    pattern = F.concat(F.when(F.size(options) > 0, own).otherwise(F.lit("")), F.lit(rf"[^\s{DELIMITERS}][^{DELIMITERS}]*"))
+
+    def cut(cutter: Column) -> Column:
+        return F.transform(F.split(marked, QUOTE), lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(F.regexp_extract_all(F.replace(p, F.lit(DOUBLED), F.lit('""')), cutter, F.lit(0))))
+
+    pieces = let(pattern, cut)
     folded = F.flatten(F.transform(F.flatten(pieces), values_of))
     # a field of nothing but letters, quoted or not
-    return F.when(answer.isNull(), F.array().cast("array<string>")).when(known(py_strip(answer)), F.array(py_strip(answer))).when(half.rlike(LETTERS), _letters(half)).otherwise(folded)
+    return F.when(known(answer), F.array(answer)).when(half.rlike(LETTERS), _letters(half)).otherwise(folded)
 
 
 def explode_values(rows: DataFrame, key: str = "row_no", answer: str = "answer", options: str = "options", least: int = 2) -> DataFrame:

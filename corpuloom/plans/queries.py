@@ -43,7 +43,9 @@ def query(sql: str | None = None) -> Callable:
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     """Samples with their split, each id once."""
     registry = table(spark, d, "source_registry").select("source", "split")
-    return table(spark, d, "samples").where("id is not null").dropDuplicates(["id"]).join(registry, "source")
+    # an explicit number of partitions keeps small inputs on all cores; the grouping by id reuses it
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, d, "samples").where("id is not null").repartition(parts, "id").dropDuplicates(["id"]).join(registry, "source")
 
 
 def _train_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -83,14 +85,14 @@ hits AS (SELECT item_id, train_id, shared, total, ratio, level FROM ranked {top}
 @query(f"WITH {_scan_sql()} SELECT * FROM hits")
 def decontam_hits(spark: SparkSession, d: str) -> DataFrame:
     train, items = _train_items(spark, d)
-    return decontaminate.scan(spread(train), items)
+    return decontaminate.scan(train, items)
 
 
 @query(f"WITH {_scan_sql(5, 0.01)} SELECT * FROM hits")
 def decontam_hits_n5(spark: SparkSession, d: str) -> DataFrame:
     """Short shingles and a low threshold: the top 20 of an item are cut."""
     train, items = _train_items(spark, d)
-    return decontaminate.scan(spread(train), items, n=5, suspicious=0.01)
+    return decontaminate.scan(train, items, n=5, suspicious=0.01)
 
 
 @query(f"""WITH {_scan_sql()}, short AS (SELECT id FROM items WHERE length(lower(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))) < 10)
@@ -273,7 +275,7 @@ def calibration_strata(spark: SparkSession, d: str) -> DataFrame:
 def grade_outputs(spark: SparkSession, d: str) -> DataFrame:
     """Rule verdict on every answer of every run."""
     asked = _samples(spark, d).select("id", "gold", "options")
-    answers = table(spark, d, "outputs").dropDuplicates(["out_id"]).join(asked, "id")
+    answers = spread(table(spark, d, "outputs")).dropDuplicates(["out_id"]).join(asked, "id")
     declared = grading.declared(F.col("output"), F.col("options"))
     return answers.select("out_id", "run_name", "gold", "options", declared.alias("declaration")).select(
         "out_id", "run_name", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from corpuloom.functions.text import py_strip, sorted_letters
+from corpuloom.functions.text import let, py_strip, sorted_letters
 from corpuloom.sources.readers import SAMPLE, require
 
 OPTION_COLUMNS = ("A", "B", "C", "D", "E")
@@ -43,10 +43,12 @@ SOURCES = {
 def entries_to_map(entries: Column) -> Column:
     """Map of (key, value) entries, trimmed; of equal keys the last one wins, null values are kept."""
     trimmed = F.transform(F.filter(entries, lambda e: e["key"].isNotNull()), lambda e: F.struct(py_strip(e["key"]).alias("key"), py_strip(e["value"]).alias("value")))
-    keys = F.transform(trimmed, lambda e: e["key"])
-    # an entry stays if its key does not come again behind it
-    last = F.filter(trimmed, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
-    return F.map_from_entries(last)
+
+    def last_of_each(rows: Column) -> Column:
+        # an entry stays if its key does not come again behind it
+        return let(F.transform(rows, lambda e: e["key"]), lambda keys: F.filter(rows, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])))
+
+    return F.map_from_entries(let(trimmed, last_of_each))
 
 
 def json_options(c: Column) -> Column:
@@ -65,7 +67,8 @@ def clean_gold(c: Column, separators: bool) -> Column:
 
 def valid_gold(gold: Column, options: Column) -> Column:
     """Whether the answer has letters and all of them are option keys."""
-    return F.coalesce((gold != "") & F.forall(F.split(gold, ""), lambda c: F.array_contains(F.map_keys(options), c)), F.lit(False))
+    named = let(F.map_keys(options), lambda keys: F.forall(F.split(gold, ""), lambda c: F.array_contains(keys, c)))
+    return F.coalesce((gold != "") & named, F.lit(False))
 
 
 def _samples(df: DataFrame, source: str, **columns: Column) -> DataFrame:
