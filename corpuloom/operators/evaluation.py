@@ -61,10 +61,11 @@ def bucket(base: Column, tuned: list[Column], dpo: Column | None) -> Column:
 
 def common_questions(graded: DataFrame, runs: list[str], *by: str) -> DataFrame:
     """``by``, id and a column of verdicts per run, of questions that every run answered; runs without any answer are ignored."""
-    there = graded.where(F.col("run").isin(runs))
-    wide = there.groupBy(*by, "id").agg(F.count_distinct("run").alias("__n"), *(F.max(F.when(F.col("run") == r, F.col("correct"))).alias(r) for r in runs))
-    of = there.groupBy(*by).agg(F.count_distinct("run").alias("__all"))
-    return wide.join(of, list(by)).where("__n = __all").drop("__n", "__all") if by else wide.crossJoin(of).where("__n = __all").drop("__n", "__all")
+    there = graded.where(F.col("run").isin(runs)).withColumn("__g", F.lit(0))
+    groups = ["__g", *by]
+    wide = there.groupBy(*groups, "id").agg(F.count_distinct("run").alias("__n"), *(F.max(F.when(F.col("run") == r, F.col("correct"))).alias(r) for r in runs))
+    of = there.groupBy(*groups).agg(F.count_distinct("run").alias("__all"))
+    return wide.join(of, groups).where("__n = __all").drop("__n", "__all", "__g")
 
 
 def first_of_bucket(bucketed: DataFrame, k: int = 8, *by: str) -> DataFrame:
