@@ -69,6 +69,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work where a small table comes as few files; larger tables keep their splits."""
+    """Give every core work where a table comes in fewer files than there are cores.
+
+    Looks at the files that a frame reads, which plans nothing and runs nothing; frames of many
+    files, and frames that are no files, keep their partitions.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
