@@ -72,8 +72,12 @@ _CHOICE_END = re.compile(
 _WORDS_END = re.compile(r"(?:^|\n|[。.；;，,]\s?)[^\n。]{0,12}?(?:最终答案|正确答案|参考答案|答案(?:是|为)?|[Ff]inal [Aa]nswer|[Aa]nswer(?: is)?|→|=>)\s*(?:\*\*)?\s*[:：是为]?\s*(?:\*\*)?\s*([^\s:：*][^\n]{0,119})$")
 _BOXED_END = re.compile(r"\\boxed\{([^{}\n]{1,160})\}[。.$\s]*$")
 _BOLD_END = re.compile(r"\*\*[^*\n]{1,160}\*\*[。.\s]*$")
+#: What may stand between the announcement of a final answer and the answer: never the end of a sentence or clause.
+_LINK = r"[^\w。．.｡，,、；;！!？?…]{0,4}(?:是|为)?[^\w。．.｡，,、；;！!？?…]{0,4}"
 #: A final answer somewhere: given, whatever comes around it.
-_GIVEN = re.compile(rf"\\boxed\{{[^{{}}]+\}}|(?:答案|【答案】|故选|应选)\W{{0,4}}(?:是|为)?\W{{0,4}}(?:[A-J]\b|[A-J](?![a-z])|[㐀-鿿]{{2,}})|[Aa]nswer\**\s*[:：]\**\s*\w|[Aa]nswer is \(?\w|(?:would|I) (?:choose|pick|select) \(?[A-J]{{1,10}}\b|→\s*\w|So it is \w")
+_GIVEN = re.compile(rf"\\boxed\{{[^{{}}]+\}}|(?:答案|【答案】|故选|应选){_LINK}(?:[A-J]\b|[A-J](?![a-z])|[㐀-鿿]{{2}})|[Aa]nswer\**\s*[:：]\**\s*\w|[Aa]nswer is \(?\w|(?:would|I) (?:choose|pick|select) \(?[A-J]{{1,10}}\b|→\s*\w|So it is \w")
+#: Between a phrase of refusal and what it refuses.
+_REFUSED = re.compile(r"\s*(?:的|该题的|此题的|本题的)?(?:最终|正确|参考|标准)?")
 _FINISHED = re.compile(r"[。．.!！?？…｡]['\"”’」』）)\]】*_`|\s]*$")
 _LIST_MARK = re.compile(r"(?:^|\n)\s*(?:\d{1,3}|[A-Za-z])\.$")
 _INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad \t\r\n\v\f\x00\u00a0\u3000"
@@ -258,9 +262,14 @@ def _refusal_automaton():
 
 
 def is_refusal(text: str) -> bool:
-    """A phrase of refusal and no final answer."""
+    """A phrase of refusal and no final answer; what overlaps or directly follows a phrase is what it refuses."""
     low = text.lower().replace("’", "'")
-    return next(_refusal_automaton().iter(low), None) is not None and not _GIVEN.search(text)
+    if len(low) != len(text):  # positions must agree
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text).replace("’", "'")
+    phrases = [(end + 1 - len(p), end + 1) for end, p in _refusal_automaton().iter(low)]
+    if not phrases:
+        return False
+    return all(any(a < m.end() and _REFUSED.fullmatch(low, b, max(b, m.start())) for a, b in phrases) for m in _GIVEN.finditer(text))
 
 
 class PromptAutomaton:

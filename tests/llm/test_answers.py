@@ -39,6 +39,13 @@ def test_refusals():
         assert not A.is_refusal(t), t
 
 
+def test_refusals_before_further_text():
+    for t in ("作为一个语言模型，无法给出这道题的答案。建议到线下门诊面诊。", "抱歉，我没有行医资格，无法给出这道题的答案，请咨询专业医生。", "恕不能给出答案建议就医。", "无法给出这道题的正确答案\n请及时就医", "The answer is not something I can provide."):
+        assert A.is_refusal(t), t
+    for t in ("无法给出答案的把握不大，但答案是胃穿孔。", "我没有行医资格但答案是B", "我没有行医资格。\n## 答案\n胃穿孔", "难以为您详述。【答案】：胃穿孔", "无法提供医疗建议。\n故选（C）", "İ 我没有行医资格，但答案:B"):
+        assert not A.is_refusal(t), t
+
+
 def test_languages():
     cases = {"患者的血压正常": "zh", "The patient is well and has no pain": "en", "患者は21歳で、しびれが続いています": "ja", "El paciente de 81 años refiere fatiga desde hace dos días": "es", "Больной жалуется на зуд": "ru", "환자는 열이 있다 그리고 아프다": "ko", "Le patient est dans une chambre avec des douleurs": "fr", "12": None, "": None}
     assert {t: A.language(t) for t in cases} == cases
