@@ -17,8 +17,9 @@ proper prefix of known words, or only known from inside answers, was cut. Length
 evidence: runs where many answers have exactly the greatest length have a limit, and a final answer
 in words that ends at the limit was cut. Delimiters that are still open at the end count as cut.
 
-The first pass sees answers only; questions are joined on slim rows, and prompts are walked only
-for answers without a final answer. A hot item is an ordinary skewed join key of slim rows.
+The first pass sees answers only; questions are joined on slim rows, and every answer that is not
+settled by then is walked through its prompt: a final answer counts against a copy only if it is not
+itself the prompt's text. A hot item is an ordinary skewed join key.
 
 Defined results: rows delivered twice count once; answers to unknown or null items can only be
 empty, truncated or refusals; a null or empty ``solutions`` array gives no rows, a null element is
@@ -306,8 +307,13 @@ class PromptAutomaton:
 
     def covered(self, text: str, least: int) -> int:
         """Characters of ``text`` inside matches of at least ``least`` characters."""
+        return sum(b - a for a, b in self.spans(text, least))
+
+    def spans(self, text: str, least: int) -> list[tuple[int, int]]:
+        """Ranges of ``text`` inside matches of at least ``least`` characters, in order; ranges that touch are one."""
         step, link, size = self.step, self.link, self.size
-        state = length = total = end = 0
+        state = length = 0
+        found: list[tuple[int, int]] = []
         for i, c in enumerate(text, 1):
             while state and c not in step[state]:
                 state = link[state]
@@ -316,9 +322,11 @@ class PromptAutomaton:
                 state = step[state][c]
                 length += 1
             if length >= least:
-                total += i - max(end, i - length)
-                end = i
-        return total
+                start = i - length
+                while found and found[-1][1] >= start:
+                    start = min(start, found.pop()[0])
+                found.append((start, i))
+        return found
 
 
 COPY_MATCH, COPY_SHARE, COPY_PROMPT = 5, 0.8, 0.6
@@ -339,7 +347,17 @@ class CopyTest:
         if key != self.key:
             self.key, self.question = key, q
             self.automaton = PromptAutomaton(compared("\n".join([question, *(f"{k}. {v}" for k, v in sorted(options or ()))])))
-        return self.automaton.covered(a, min(COPY_MATCH, len(q))) >= COPY_SHARE * len(a)
+        spans = self.automaton.spans(a, min(COPY_MATCH, len(q)))
+        return sum(e - b for b, e in spans) >= COPY_SHARE * len(a) and not self.gives(answer, spans)
+
+    @staticmethod
+    def gives(answer: str, spans: list[tuple[int, int]]) -> bool:
+        """Whether the answer's end has a final answer that is not the prompt's text. ``spans``: ranges of the compared answer that are."""
+        for m in _GIVEN.finditer(answer, max(0, len(answer) - 160)):
+            b, e = len(compared(answer[: m.start()])), len(compared(answer[: m.end()]))
+            if not any(x <= b and e <= y for x, y in spans):
+                return True
+        return False
 
 
 # ---- passes -----------------------------------------------------------------------------------
@@ -365,7 +383,7 @@ def limits(outputs: DataFrame) -> dict[str, int]:
 
 
 def first_pass(rows: DataFrame, words: Vocabulary, limit: dict[str, int], only_cut: bool = False) -> DataFrame:
-    """Defects that need no question; the language; the text where a copy is possible."""
+    """Defects that need no question; the language; the text where these do not settle the answer."""
     shared = rows.sparkSession.sparkContext.broadcast((words, limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,13 +403,10 @@ def first_pass(rows: DataFrame, words: Vocabulary, limit: dict[str, int], only_c
                 if only_cut and s == "empty":
                     continue
                 own = language(said(t)) if s is None else None
-                maybe = s in (None, "truncated") and not _GIVEN.search(t[-160:])
-                if s is None and own is None and not maybe:
-                    continue
                 at.append(k)
                 state.append(s)
                 lang.append(own)
-                text.append(t if maybe else None)
+                text.append(t if s in (None, "truncated") else None)  # only its prompt tells whether it is a copy
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(5)), pa.array(state, pa.string()), pa.array(lang, pa.string()), pa.array(text, pa.string())], ["origin", "rec_id", "pos", "id", "run", "state", "lang", "text"])
 

@@ -94,6 +94,19 @@ def test_truncated_and_rates(spark):
     assert rates[("r", "src")] == (11, 1) and rates[("r", None)] == (2, 1) and rates[(None, "src")] == (6, 0)
 
 
+def test_copies_of_questions_that_speak_of_answers(spark):
+    stem = "本题为标准配伍题，请在备选答案中选出与题干关系最密切的一项。女性，81岁，主诉复视伴情绪低落间断9个月，此时首选的处理是"
+    long = "请在备选答案中选出与题干关系最密切的一项" + "，既往鼻窦积液伴子宫肌层萎缩13年" * 8 + "，此时首选的处理是"
+    given = [stem + "\n答案:B", stem + "\n\\boxed{A}", "您的问题是：" + stem + "最终答案：胃穿孔"]
+    outs = [(1, "r", "s", "k", "您的问题是：" + stem), (2, "r", "s", "l", long), *((3 + i, "r", "s", "k", t) for i, t in enumerate(given)), *((10 + i, "r", "s", "k", stem) for i in range(20))]
+    o = spark.createDataFrame([(*x, "", "") for x in outs], OUTPUTS)
+    d = spark.createDataFrame([("k", [stem, "推理完整。\n答案:A"], 0)], DPO)
+    s = spark.createDataFrame([("k", "src", stem, "A", {"A": "甲", "B": "乙"}, None, {}), ("l", "src", long, "A", {"A": "甲", "B": "乙"}, None, {})], SAMPLES)
+    got = {(r["origin"], r["rec_id"], r["pos"], r["defect"]) for r in A.defects(o, d, s).collect()}
+    assert got == {("outputs", str(i), 0, "copy") for i in (1, 2, *range(10, 30))} | {("dpo_samples", "k", 0, "copy")}
+    assert A.truncated(o, d, s).count() == 0
+
+
 def test_limits(spark):
     rows = [(i, "capped" if i < 300 else "free", "s", "x", "长" * (50 if i % 20 == 0 and i < 300 else i % 40), "", "") for i in range(600)]
     assert A.limits(spark.createDataFrame(rows, OUTPUTS)) in ({"capped": 50}, {"capped": 50, "free": 39})
