@@ -11,8 +11,8 @@ Every answer of ``outputs.output`` and ``dpo_samples.solutions`` gets at most on
   the question's. Frames, final answers and terms alone do not vote.
 
 An answer is cut off when it ends neither with a finished sentence nor with a complete final
-answer. For a final answer in words, the evidence is a vocabulary trie of the corpus's reference
-answers: an ending is complete if known answers end with its last token; a last token that is a
+answer. For a final answer in words, the evidence is the vocabulary of the corpus's reference
+answers, all its tokens and their prefixes in a table that last tokens are joined with: an ending is complete if known answers end with its last token; a last token that is a
 proper prefix of known words, or only known from inside answers, was cut. Length is further
 evidence: runs where many answers have exactly the greatest length have a limit, and a final answer
 in words that ends at the limit was cut. Delimiters that are still open at the end count as cut.
@@ -148,7 +148,7 @@ def tokens(text: str) -> list[str]:
 
 
 class Vocabulary:
-    """Trie of known tokens (as the set of its nodes) with those that end reference answers."""
+    """Trie of known tokens (as the set of its nodes) with those that end reference answers: in memory what ``vocabulary`` is as a table."""
 
     def __init__(self, known: dict[str, int]):
         self.known = set(known)
@@ -164,12 +164,11 @@ class Vocabulary:
         return token in self.known or token in self.nodes
 
 
-#: A known token has at least this share of all tokens, so a vocabulary has at most its inverse.
-TOKEN_SHARE = 1 / 50_000
+def vocabulary(samples: DataFrame) -> tuple[DataFrame, frozenset[str]]:
+    """token, ends: all tokens of the reference answers of open questions and their prefixes; the single Han characters that close answers.
 
-
-def vocabulary(samples: DataFrame) -> Vocabulary:
-    """Tokens of the reference answers of open questions, at most 1 / TOKEN_SHARE of them."""
+    The table is joined; the characters are collected, at most the script's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,17 +179,18 @@ def vocabulary(samples: DataFrame) -> Vocabulary:
                 token, han = last_token(gold)
                 for t in {token, token[-1:]} if han else {token}:
                     seen.setdefault(t, [0, 0])[1] += 1
+            for t in list(seen):
+                for i in range(1, len(t)):
+                    seen.setdefault(t[:i], [0, 0])
             yield pa.RecordBatch.from_pydict({"token": pa.array(list(seen), pa.string()), "n": pa.array([x[0] for x in seen.values()], pa.int64()), "ends": pa.array([x[1] for x in seen.values()], pa.int64())})
 
     # reference answers that are a sentence or more say nothing about short final answers
     golds = samples.where(F.col("options").isNull() & F.col("gold").isNotNull()).select(F.substring_index(F.regexp_replace(F.trim("gold"), r"[。.\s]+$", ""), "考虑", -1).alias("gold")).where(F.length("gold").between(1, 80))
     counts = golds.mapInArrow(run, "token string, n bigint, ends bigint").groupBy("token").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-    counts = materialise(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.where((F.col("n") >= F.lit(max(2.0, total * TOKEN_SHARE))) | (F.col("ends") >= F.lit(max(2.0, total * TOKEN_SHARE))))
-    least = max(2.0, total * TOKEN_SHARE)
-    # a single Han character closes answers by itself only if it mostly does
-    return Vocabulary({t: ends >= least and ends * (50 if len(t) > 1 else 3) >= n for t, n, ends in kept.collect()})  # bounded by TOKEN_SHARE
+    # a single character closes answers by itself only if it mostly does
+    known = materialise(counts.select("token", ((F.col("ends") > 0) & (F.col("ends") * F.when(F.length("token") > 1, 50).otherwise(3) >= F.col("n"))).alias("ends")))
+    single = known.where(F.col("ends") & (F.length("token") == 1)).select("token").collect()  # bounded by the script
+    return known, frozenset(r["token"] for r in single if _HAN.match(r["token"]))
 
 
 _OPEN = {"（": "）", "(": ")", "「": "」", "『": "』", "【": "】", "“": "”", "{": "}", "[": "]"}
@@ -209,8 +209,8 @@ def open_at_end(text: str) -> bool:
     return bool(stack) or line.count("**") % 2 == 1
 
 
-def unfinished(text: str, words: Vocabulary, at_limit: bool = False) -> bool:
-    """Whether the text ends inside a sentence or word."""
+def ending(text: str, at_limit: bool = False) -> bool | tuple[str, bool]:
+    """Whether the text ends inside a sentence or word; where only the vocabulary tells, its words and whether they are all of the text."""
     end = text.rstrip(_INVISIBLE)
     tail = end[-400:]
     if not end:
@@ -227,14 +227,22 @@ def unfinished(text: str, words: Vocabulary, at_limit: bool = False) -> bool:
         return False
     m = _WORDS_END.search(tail)
     if m:
-        return at_limit or words.cut(m.group(1))
+        return at_limit or (m.group(1), False)
     line = tail[tail.rfind("\n") + 1 :].strip()
     if len(line) <= 40 and line == end and not re.search(r"[，,：:；;]", line):  # nothing but a short answer
-        token, _ = last_token(line)
-        return not (token in words.ends)
+        return line, True
     return True
 
 
+def unfinished(text: str, words: Vocabulary, at_limit: bool = False) -> bool:
+    """Whether the text ends inside a sentence or word, by a vocabulary at hand."""
+    end = ending(text, at_limit)
+    if isinstance(end, bool):
+        return end
+    line, alone = end
+    return last_token(line)[0] not in words.ends if alone else words.cut(line)
+
+
 # ---- defects that need no question ------------------------------------------------------------
 
 
@@ -382,35 +390,48 @@ def limits(outputs: DataFrame) -> dict[str, int]:
     return {r["run_name"]: r["top"]["n"] for r in per.where(F.col("top.m") >= F.greatest(F.lit(5), F.col("all") * 0.005)).collect()}
 
 
-def first_pass(rows: DataFrame, words: Vocabulary, limit: dict[str, int], only_cut: bool = False) -> DataFrame:
+def first_pass(rows: DataFrame, known: DataFrame, closing: frozenset[str], limit: dict[str, int], only_cut: bool = False) -> DataFrame:
     """Defects that need no question; the language; the text where these do not settle the answer."""
-    shared = rows.sparkSession.sparkContext.broadcast((words, limit))
+    shared = rows.sparkSession.sparkContext.broadcast((closing, limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, limit = shared.value
+        closing, limit = shared.value
         for b in batches:
-            at, state, lang, text = [], [], [], []
+            at, state, lang, text, last, lone = [], [], [], [], [], []
             for k, (run, t) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())):
+                token = alone = None
                 if is_empty(t):
                     s = "empty"
                 else:
-                    cut = unfinished(t, words, len(t) == limit.get(run))
+                    cut = ending(t, len(t) == limit.get(run))
+                    if not isinstance(cut, bool):  # as not cut, until the vocabulary tells
+                        (line, alone), cut = cut, False
+                        token, han = last_token(line)
+                        if not alone and (not token or han and token[-1] in closing):  # a rare pair whose last character closes answers
+                            token = None
                     s = "truncated" if cut else None
-                    if only_cut and not cut:
+                    if only_cut and not cut and token is None:
                         continue
-                    if is_refusal(t) and not only_cut:
-                        s = "refusal" if not cut else s
+                    if not only_cut and not cut and is_refusal(t):
+                        s = "refusal"
                 if only_cut and s == "empty":
                     continue
-                own = language(said(t)) if s is None else None
                 at.append(k)
                 state.append(s)
-                lang.append(own)
-                text.append(t if s in (None, "truncated") else None)  # only its prompt tells whether it is a copy
+                lang.append(language(said(t)) if s is None else None)
+                text.append(t if s in (None, "truncated") or token is not None else None)  # only its prompt tells whether it is a copy
+                last.append(token)
+                lone.append(alone)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(5)), pa.array(state, pa.string()), pa.array(lang, pa.string()), pa.array(text, pa.string())], ["origin", "rec_id", "pos", "id", "run", "state", "lang", "text"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(5)), pa.array(state, pa.string()), pa.array(lang, pa.string()), pa.array(text, pa.string()), pa.array(last, pa.string()), pa.array(lone, pa.bool_())], ["origin", "rec_id", "pos", "id", "run", "state", "lang", "text", "last", "alone"])
 
-    return rows.select("origin", "rec_id", "pos", "id", "run", "text").mapInArrow(run, "origin string, rec_id string, pos int, id string, run string, state string, lang string, text string")
+    first = rows.select("origin", "rec_id", "pos", "id", "run", "text").mapInArrow(run, "origin string, rec_id string, pos int, id string, run string, state string, lang string, text string, last string, alone boolean")
+    # rows that ask for no word are spread by keys that no word has
+    asked = first.withColumn("token", F.coalesce("last", F.concat_ws("\n", F.lit(""), "origin", "rec_id", "pos")))
+    joined = asked.join(known, "token", "left")
+    cut = F.col("last").isNotNull() & F.when(F.col("alone"), ~F.coalesce("ends", F.lit(False))).otherwise(F.coalesce(~F.col("ends"), F.lit(False)))
+    found = joined.withColumn("state", F.when(cut, "truncated").otherwise(F.col("state"))).drop("token", "last", "alone", "ends")
+    return found.where("state = 'truncated'") if only_cut else found
 
 
 def questions(samples: DataFrame, with_language: bool = True) -> DataFrame:
@@ -457,7 +478,7 @@ def second_pass(first: DataFrame, asked: DataFrame) -> DataFrame:
 def defects(outputs: DataFrame, dpo: DataFrame, samples: DataFrame) -> DataFrame:
     """origin, rec_id, pos, run, source, defect: one row per defective answer."""
     rows = answers(outputs, dpo)
-    return second_pass(first_pass(rows, vocabulary(samples), limits(outputs)), questions(samples))
+    return second_pass(first_pass(rows, *vocabulary(samples), limits(outputs)), questions(samples))
 
 
 def truncated(outputs: DataFrame, dpo: DataFrame, samples: DataFrame) -> DataFrame:
@@ -465,7 +486,7 @@ def truncated(outputs: DataFrame, dpo: DataFrame, samples: DataFrame) -> DataFra
 
     Only answers without a finished end are joined with their questions.
     """
-    first = first_pass(answers(outputs, dpo), vocabulary(samples), limits(outputs), only_cut=True)
+    first = first_pass(answers(outputs, dpo), *vocabulary(samples), limits(outputs), only_cut=True)
     asked = questions(samples, with_language=False).withColumn("question_lang", F.lit(None).cast("string"))
     return second_pass(first, asked).where("defect = 'truncated'").drop("defect")
 

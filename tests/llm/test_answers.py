@@ -107,6 +107,17 @@ def test_copies_of_questions_that_speak_of_answers(spark):
     assert A.truncated(o, d, s).count() == 0
 
 
+def test_rare_words_are_known(spark):
+    golds = ["常见疾病"] * 400 + ["梨状窝臼瘘", "pure osteopetrosis"]
+    samples = spark.createDataFrame([(f"g{i}", "src", "问" * 9, g, None, None, {}) for i, g in enumerate(golds)], SAMPLES)
+    texts = {"梨状窝臼瘘": False, "osteopetrosis": False, "推理。\n最终答案：梨状窝": True, "Final answer: pure osteopet": True, "推理。\n最终答案：梨状窝臼瘘": False, "Final answer: osteopetrosis": False, "Final answer: newword": False, "常见疾病": False, "因为血压": True}
+    outputs = spark.createDataFrame([(i, "r", "s", "g0", t, "", "") for i, t in enumerate(texts)], OUTPUTS)
+    more = spark.createDataFrame([(f"h{i}", "src", "问" * 9, "常见疾病", None, None, {}) for i in range(20_000)], SAMPLES)
+    for s in (samples, samples.unionAll(more)):  # whether a word is known does not depend on how many others there are
+        found = {int(r["rec_id"]) for r in A.truncated(outputs, spark.createDataFrame([], DPO), s).collect()}
+        assert found == {i for i, cut in enumerate(texts.values()) if cut}
+
+
 def test_limits(spark):
     rows = [(i, "capped" if i < 300 else "free", "s", "x", "长" * (50 if i % 20 == 0 and i < 300 else i % 40), "", "") for i in range(600)]
     assert A.limits(spark.createDataFrame(rows, OUTPUTS)) in ({"capped": 50}, {"capped": 50, "free": 39})
