@@ -14,7 +14,7 @@ An answer is cut off when it ends neither with a finished sentence nor with a co
 answer. For a final answer in words, the evidence is the vocabulary of the corpus's reference
 answers, all its tokens and their prefixes in a table that last tokens are joined with: an ending is complete if known answers end with its last token; a last token that is a
 proper prefix of known words, or only known from inside answers, was cut. Length is further
-evidence: runs where many answers have exactly the greatest length have a limit, and a final answer
+evidence: runs where many answers have exactly the same length and hardly any a greater one have a limit, and a final answer
 in words that ends at the limit was cut. Delimiters that are still open at the end count as cut.
 
 The first pass sees answers only; questions are joined on slim rows, and every answer that is not
@@ -35,7 +35,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuloom.functions.windows import compared
@@ -381,13 +381,19 @@ def answers(outputs: DataFrame, dpo: DataFrame) -> DataFrame:
 
 
 def limits(outputs: DataFrame) -> dict[str, int]:
-    """Length limit of each run that has one: at least 0.5 % (and 5) of its answers have exactly the greatest length.
+    """Length limit of each run that has one: at least 0.5 % (and 5) of its answers have exactly this length.
 
-    One row per run is collected.
+    It is the greatest length, or a spike among the longest: ten times as many answers as at the lengths
+    around it on average, and as at all greater lengths together. One row per run is collected.
     """
     lengths = outputs.where("output is not null and run_name is not null").groupBy("run_name", F.length("output").alias("n")).agg(F.count(F.lit(1)).alias("m"))
-    per = lengths.groupBy("run_name").agg(F.max(F.struct("n", "m")).alias("top"), F.sum("m").alias("all"))
-    return {r["run_name"]: r["top"]["n"] for r in per.where(F.col("top.m") >= F.greatest(F.lit(5), F.col("all") * 0.005)).collect()}
+    run = Window.partitionBy("run_name")
+    by = run.orderBy("n")
+    m, around, above = F.col("m"), F.sum("m").over(by.rangeBetween(-10, 10)) - F.col("m"), F.coalesce(F.sum("m").over(by.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    marked = lengths.select("run_name", "n", "m", F.sum("m").over(run).alias("all"), around.alias("around"), above.alias("above"))
+    spike = (m >= 10 * F.col("above")) & (m * 20 >= 10 * F.col("around"))
+    found = marked.where((m >= F.greatest(F.lit(5), F.col("all") * 0.005)) & ((F.col("above") == 0) | spike))
+    return {r["run_name"]: r["n"] for r in found.groupBy("run_name").agg(F.max("n").alias("n")).collect()}
 
 
 def first_pass(rows: DataFrame, known: DataFrame, closing: frozenset[str], limit: dict[str, int], only_cut: bool = False) -> DataFrame:

@@ -123,6 +123,13 @@ def test_limits(spark):
     assert A.limits(spark.createDataFrame(rows, OUTPUTS)) in ({"capped": 50}, {"capped": 50, "free": 39})
 
 
+def test_limits_with_longer_rows(spark):
+    late = [(1000, "capped", "s", "x", "长" * 51, "", ""), (1001, "capped", "s", "x", "长" * 300, "", "")]
+    rows = [(i, "capped", "s", "x", "长" * (50 if i % 10 == 0 else i % 40), "", "") for i in range(300)]
+    smooth = [(2000 + i, "smooth", "s", "x", "长" * (i % 50), "", "") for i in range(500)] + [(3000, "smooth", "s", "x", "长" * 50, "", "")]
+    assert A.limits(spark.createDataFrame(rows + late + smooth, OUTPUTS)) == {"capped": 50}
+
+
 def test_empty_tables(spark):
     o, d, s = build(spark)
     for f in (A.defects, A.truncated, A.truncation_rates):
