@@ -304,6 +304,26 @@ def extract_text_grade(spark: SparkSession, d: str) -> DataFrame:
     return read.select("id", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct"))
 
 
+@query()
+def extract_choice_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As extract_choice_grade, with all letters of the key."""
+    rows = _samples(spark, d).where("options is not null and gold <> ''").withColumn("list", F.array_join(F.split("gold", ""), "、"))
+    form = F.ascii(F.right("id", F.lit(1))) % 4
+    text = F.when(form == 0, F.concat(F.lit("最终答案:"), F.col("list"))).when(form == 1, F.concat(F.lit("x \\boxed{"), F.col("gold"), F.lit("}"))).when(form == 2, F.concat(F.lit("故选 "), F.col("list"), F.lit("。"))).otherwise(F.concat(F.lit("答案："), F.col("list")))
+    read = rows.withColumn("output", text).withColumn("declaration", grading.declared(F.col("output"), F.col("options")))
+    return read.select("id", "output", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct"))
+
+
+@query()
+def extract_text_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As extract_text_grade, over all keys of open questions."""
+    form = F.ascii(F.right("id", F.lit(1))) % 3
+    text = F.when(form == 0, F.concat(F.lit("最终答案: "), F.col("gold"), F.lit("。"))).when(form == 1, F.concat(F.lit("答案:x\n\\boxed{"), F.col("gold"), F.lit("}"))).otherwise(F.concat(F.lit("so "), F.col("gold")))
+    rows = _samples(spark, d).where("options is null and gold is not null").select("id", "gold", "options", text.alias("output"))
+    read = rows.withColumn("declaration", grading.declared(F.col("output"), F.col("options")))
+    return read.select("id", "output", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct"))
+
+
 def _graded(spark: SparkSession, d: str) -> DataFrame:
     """id, run, set_name, correct: the last answer of each run and item, with a verdict derived from its key."""
     rows = table(spark, d, "outputs").where("id is not null").select("out_id", "id", F.col("run_name").alias("run"), "set_name")
