@@ -276,10 +276,6 @@ def _fit(data: _Data, rows: np.ndarray, y: np.ndarray, extra: np.ndarray, weight
     return w, c, b
 
 
-def _predict(data: _Data, w: np.ndarray, c: np.ndarray, b: float, extra: np.ndarray) -> np.ndarray:
-    return _sigmoid(np.bincount(data.owner, weights=w[data.slot] * data.value, minlength=data.n) + extra @ c + b)
-
-
 def _evidence(owner: np.ndarray, slot: np.ndarray, doc: np.ndarray, label: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How strongly a sentence's n-grams belong to toxic documents, its own document left out; which
     share of them some harmless documents have; documents per slot.
@@ -314,6 +310,14 @@ def _cue_pattern(name: str) -> re.Pattern:
     return re.compile("|".join([rf"\b(?:{'|'.join(latin)})", *(re.escape(w) for w in words if not w.isascii())]))
 
 
+def _threshold(worst: np.ndarray, label: np.ndarray) -> float:
+    """The middle of the thresholds on documents' worst scores that agree best with the reviewers."""
+    grid = np.linspace(0.2, 0.9, 71)
+    right = np.array([((worst >= t) == (label == 1)).sum() for t in grid])
+    near = grid[right >= right.max()]
+    return float(near[len(near) // 2])
+
+
 def train(texts: list[str], labels: list[int]) -> Chain:
     """Fit the chain on labelled documents (1 toxic, 0 not)."""
     links = len(CATEGORIES)
@@ -360,36 +364,39 @@ def train(texts: list[str], labels: list[int]) -> Chain:
         mined = np.argsort(-z, kind="stable")[:MINED]
         use = np.sort(np.concatenate([use, mined[np.isfinite(z[mined])]]))
     data = _part(owner, slot, n, use, docs)
-    y_all, doc_u, rows_u = chosen[use], doc[use], [rows[i] for i in use]
-    fold = (mix64(doc_u.astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+    y_all, rows_u = chosen[use], [rows[i] for i in use]
+    fold_all = (mix64(doc.astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+    fold, sizes = fold_all[use], _sizes(owner, n)
     cue = np.zeros((len(use), links - 1), bool)
     for k, found in enumerate(patterns):
         cue[:, k] = [y and bool(found.search(s)) for y, s in zip(y_all.tolist(), rows_u)]
-    earlier = np.zeros((len(use), 0))
+    earlier_all = np.zeros((n, 0))  # out of fold, of all sentences
     grams, coef, bias = [], np.zeros((links, links)), np.zeros(links)
     for k in range(links):
         y = (cue[:, k] if k < links - 1 else y_all).astype(float)
         part = ~y_all | (y > 0)  # a toxic sentence without the category's cue says nothing about it
         weight = np.where(y > 0, 3.0, 1.0)
-        out = np.zeros(len(use))
+        earlier = earlier_all[use]
+        out = np.zeros(n)
         for f in range(FOLDS):
             at = np.flatnonzero(part & (fold != f))
-            fitted = _fit(data, at, y[at], earlier[at], weight[at])
-            out[fold == f] = _predict(data, *fitted, earlier)[fold == f]
+            w, c, b = _fit(data, at, y[at], earlier[at], weight[at])
+            every = np.zeros(1 << LOG2_SLOTS)
+            every[data.used] = w
+            here = fold_all[owner] == f
+            z = _summed(owner[here], every.take(slot[here]), n) / sizes + earlier_all @ c + b
+            out[fold_all == f] = _sigmoid(z)[fold_all == f]
         at = np.flatnonzero(part)
         w, c, bias[k] = _fit(data, at, y[at], earlier[at], weight[at])
         grams.append(w)
         coef[k, :k] = c
-        earlier = np.column_stack([earlier, out])
-    # the threshold that agrees best with the reviewers, on out-of-fold scores of the sentences used
+        earlier_all = np.column_stack([earlier_all, out])
+    # the threshold that agrees best with the reviewers, on out-of-fold scores of all sentences
     worst = np.zeros(len(texts))
-    np.maximum.at(worst, doc_u, earlier[:, -1])
-    grid = np.linspace(0.2, 0.9, 71)
-    right = np.array([((worst >= t) == (label == 1)).sum() for t in grid])
-    near = grid[right >= right.max()]
+    np.maximum.at(worst, doc, earlier_all[:, -1])
     full = np.zeros((links, 1 << LOG2_SLOTS), np.float32)
     full[:, data.used] = np.array(grams)
-    return Chain(full, coef, bias, float(near[len(near) // 2]))
+    return Chain(full, coef, bias, _threshold(worst, label))
 
 
 def labelled(documents: DataFrame, reviews: DataFrame, most: int = MAX_LABELLED) -> DataFrame:

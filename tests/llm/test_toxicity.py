@@ -36,6 +36,16 @@ def test_held_out_accuracy(data):
     assert (found & real).sum() / real.sum() > 0.9 and (found & real).sum() / max(found.sum(), 1) > 0.9
 
 
+def test_threshold_sees_every_sentence(data, monkeypatch):
+    texts, truth, labels = data
+    for bound in ("HARD", "EASY", "MINED"):
+        monkeypatch.setattr(X, bound, 30)
+    seen, threshold = [], X._threshold
+    monkeypatch.setattr(X, "_threshold", lambda worst, label: seen.append(worst) or threshold(worst, label))
+    X.train(texts[:600], labels[:600])
+    assert len(seen[0]) == 600 and seen[0].min() > 0  # also of documents none of whose sentences was used
+
+
 def test_disguises_fold():
     def one(t):
         return "".join(X.cut([t]).strings()).strip()
