@@ -39,7 +39,10 @@ def transitions(before: DataFrame, after: DataFrame, *by: str) -> DataFrame:
 
 
 def bucket(base: Column, tuned: list[Column], dpo: Column | None) -> Column:
-    """Story bucket of a question by its verdicts in the base run, tuned runs and the preference run (in this order of rules)."""
+    """Story bucket of a question by its verdicts in the base run, tuned runs and the preference run (in this order of rules).
+
+    A base run that abstains has not answered right: the preference run may have mended it.
+    """
     every = [base, *tuned, *([dpo] if dpo is not None else [])]
 
     def is_(v: Column, value: bool) -> Column:
@@ -55,7 +58,7 @@ def bucket(base: Column, tuned: list[Column], dpo: Column | None) -> Column:
     for v in tuned:
         known = known | v.isNotNull()
     regression = is_(base, True) & known & none_is(tuned, True)
-    fix = (is_(base, False) & is_(dpo, True)) if dpo is not None else F.lit(False)
+    fix = (~is_(base, True) & is_(dpo, True)) if dpo is not None else F.lit(False)
     return F.when(regression, BUCKETS[0]).when(fix, BUCKETS[1]).when(none_is(every, False), BUCKETS[2]).when(none_is(every, True), BUCKETS[3]).otherwise(BUCKETS[4])
 
 

@@ -75,7 +75,7 @@ total AS (SELECT id, count(*) AS total FROM eg GROUP BY id),
 rare AS (SELECT gram FROM tg GROUP BY gram HAVING count(*) <= (SELECT greatest(20, CAST(floor(count(*) * 0.005::DOUBLE) AS BIGINT)) FROM train)),
 pairs AS (SELECT eg.id AS item_id, tg.id AS train_id, count(*) AS shared FROM eg JOIN rare USING (gram) JOIN tg USING (gram) GROUP BY ALL),
 rated AS (SELECT item_id, train_id, shared, total, shared / total AS ratio FROM pairs JOIN total ON total.id = item_id),
-ranked AS (SELECT *, CASE WHEN ratio >= 0.8::DOUBLE THEN 'contaminated' ELSE 'suspicious' END AS level, row_number() OVER (PARTITION BY item_id ORDER BY ratio DESC, train_id) AS rank FROM rated WHERE ratio >= {least}::DOUBLE),
+ranked AS (SELECT *, CASE WHEN ratio >= 0.8::DOUBLE THEN 'contaminated' ELSE 'suspicious' END AS level, row_number() OVER (PARTITION BY item_id ORDER BY round(ratio, 3) DESC, train_id) AS rank FROM rated WHERE ratio >= {least}::DOUBLE),
 hits AS (SELECT item_id, train_id, shared, total, ratio, level FROM ranked {top})"""
 
 
@@ -371,7 +371,7 @@ _CTE_BUCKETS = f"""{_CTE_GRADED},
 four AS (SELECT * FROM graded WHERE run IN ('base-v2', 'sft-v2', 'sft-r1-v2', 'dpo-v2')),
 wide AS (SELECT set_name, id, bool_or(correct) FILTER (run = 'base-v2') AS b, bool_or(correct) FILTER (run = 'sft-v2') AS s1, bool_or(correct) FILTER (run = 'sft-r1-v2') AS s2, bool_or(correct) FILTER (run = 'dpo-v2') AS p, count(DISTINCT run) AS k FROM four GROUP BY set_name, id),
 common AS (SELECT * FROM wide w WHERE k = (SELECT count(DISTINCT run) FROM four f WHERE f.set_name = w.set_name)),
-bucketed AS (SELECT set_name, id, CASE WHEN b AND (s1 IS NOT NULL OR s2 IS NOT NULL) AND NOT coalesce(s1, false) AND NOT coalesce(s2, false) THEN 'regression' WHEN NOT b AND p THEN 'dpo_fix'
+bucketed AS (SELECT set_name, id, CASE WHEN b AND (s1 IS NOT NULL OR s2 IS NOT NULL) AND NOT coalesce(s1, false) AND NOT coalesce(s2, false) THEN 'regression' WHEN NOT coalesce(b, false) AND p THEN 'dpo_fix'
 WHEN coalesce(b, true) AND coalesce(s1, true) AND coalesce(s2, true) AND coalesce(p, true) THEN 'all_correct' WHEN NOT coalesce(b, false) AND NOT coalesce(s1, false) AND NOT coalesce(s2, false) AND NOT coalesce(p, false) THEN 'all_wrong' ELSE 'mixed' END AS bucket FROM common)"""
 
 

@@ -14,12 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    local mode) a temporary folder of this machine is taken.
+    It is what the cluster names in ``spark.checkpoint.dir``, else the session's checkpoint folder. Only
+    where both are unset and the session runs on this machine alone (tests) a temporary folder
+    is taken; on a cluster that is an error, as executors would write to disks of their own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        own = context._jsc.sc().getCheckpointDir()
+        named = own.get() if own.isDefined() else None
     if named:
         return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="corpuloom-")
@@ -35,19 +42,30 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_stages: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a re-read, not a re-run. The files are removed when
-    the driver process ends.
+    Cuts the lineage: a lost executor costs a re-read, not a re-run. The files are removed by
+    :func:`release`, at the latest when the driver process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpuloom/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
+    if not _stages:
+        atexit.register(release, spark)
+    _stages.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove the files of all stages written so far. Frames made of them must have been consumed."""
+    while _stages:
+        _delete(spark, _stages.pop())
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once a session: their Python need not have it installed."""
     context = spark.sparkContext

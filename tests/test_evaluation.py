@@ -35,7 +35,7 @@ def test_transitions(spark):
 def test_buckets(spark):
     cases = [
         ((True, False, None, True), "regression"), ((True, None, None, None), "all_correct"), ((False, False, False, True), "dpo_fix"), ((None, None, None, None), "all_correct"), ((False, None, False, False), "all_wrong"),
-        ((True, True, False, True), "mixed"), ((False, True, True, False), "mixed"), ((None, False, None, None), "all_wrong"), ((True, True, True, True), "all_correct"), ((False, False, False, None), "all_wrong"),
+        ((None, True, True, True), "dpo_fix"), ((None, False, None, True), "dpo_fix"), ((True, True, False, True), "mixed"), ((False, True, True, False), "mixed"), ((None, False, None, None), "all_wrong"), ((True, True, True, True), "all_correct"), ((False, False, False, None), "all_wrong"),
     ]
     df = spark.createDataFrame([(i, *v) for i, (v, _) in enumerate(cases)], "i int, b boolean, s boolean, r boolean, d boolean").orderBy("i")
     got = [x[0] for x in df.select(E.bucket(F.col("b"), [F.col("s"), F.col("r")], F.col("d"))).collect()]

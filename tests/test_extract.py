@@ -18,6 +18,12 @@ def test_declarations(spark, cases, read):
     assert {cases[i][0][-40:]: v for i, v in got.items()} == {t[-40:]: v for t, v in cases}
 
 
+def test_wrapped_text(spark):
+    cases = {r"\boxed{\text{肺栓塞}}": "肺栓塞", r"so \boxed{\mathrm{ATP}}。": "ATP", "答案: \\mathbf{胃}。": "胃"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r[0]: r[1] for r in rows.select("t", extract_text(F.col("t"))).collect()} == cases
+
+
 def test_null_output(spark):
     row = spark.createDataFrame([(None,)], "t string").select(extract_choice(F.col("t")), extract_text(F.col("t"))).first()
     assert tuple(row) == (None, None)
