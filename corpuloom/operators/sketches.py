@@ -10,6 +10,7 @@ joins after it sort out: the bound costs time, never rows.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,10 +58,11 @@ def sketch(hashes: DataFrame, expected: int, most_log2: int = MOST_LOG2) -> Broa
                 part = own.setdefault(int(seg[at[0]]), np.zeros(1 << _SEGMENT, np.uint8))
                 part[slot[at] & ((1 << _SEGMENT) - 1)] = c[at]
         for s, part in own.items():
-            yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int64()), "counts": pa.array([part.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int64()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
-    made = slots.repartition(min(64, max(1, 1 << (log2 - _SEGMENT - 4) if log2 > _SEGMENT + 4 else 1)), F.shiftright("slot", _SEGMENT)).mapInArrow(run, "seg bigint, counts binary")
+    parts = min(16, max(1, (1 << log2 - _SEGMENT) // 16))
+    made = slots.repartition(parts, F.shiftright("slot", _SEGMENT)).mapInArrow(run, "seg bigint, counts binary")
     whole = np.zeros(1 << log2, np.uint8)
-    for seg, counts in made.toLocalIterator():  # segments: their number is fixed by log2
-        whole[seg << _SEGMENT : (seg + 1) << _SEGMENT] = np.frombuffer(counts, np.uint8)
+    for seg, counts in made.collect():  # segments: their number is fixed by log2
+        whole[seg << _SEGMENT : (seg + 1) << _SEGMENT] = np.frombuffer(zlib.decompress(counts), np.uint8)
     return hashes.sparkSession.sparkContext.broadcast((whole, log2))

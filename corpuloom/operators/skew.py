@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 BLOCK = 20_000
 
 
-def hot_keys(rows: DataFrame, on: str, block: int = BLOCK, count: str | None = None) -> DataFrame:
-    """``on``, blocks of the keys with more than ``block`` rows; ``count``: a column with the number of rows of each key, if known."""
+def hot_keys(rows: DataFrame, on: str, block: int | None = None, count: str | None = None) -> DataFrame:
+    """``on``, blocks of the keys with more than ``block`` rows (``BLOCK``); ``count``: a column with the number of rows of each key, if known."""
+    block = block or BLOCK
     counted = rows.select(on, F.col(count).alias("__n")) if count else rows.groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
     return counted.where(F.col("__n") > block).select(on, F.ceil(F.col("__n") / F.lit(block)).cast("int").alias("__blocks"))
 
 
-def spread_join(many: DataFrame, few: DataFrame, on: str, by: str, hot: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def spread_join(many: DataFrame, few: DataFrame, on: str, by: str, hot: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """``many`` joined with ``few`` on ``on``; a hot key's rows of ``many`` are spread by a hash of ``by``, its rows of ``few`` repeated for each block."""
     hot = hot if hot is not None else hot_keys(many, on, block)
     salted = many.join(hot, on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("__blocks")), F.lit(0)).cast("int")).drop("__blocks")
