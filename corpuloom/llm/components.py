@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuloom.operators.skew import hot_keys, spread_join
 from corpuloom.runtime import materialise
 
 
@@ -18,8 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         seen = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         seen = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = seen.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = seen.join(least, "a")
+    least = materialise(seen.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+    joined = spread_join(seen, least.select("a", "m"), "a", "b", hot_keys(least, "a", count="n"))  # a hub's links are spread
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -5,16 +5,19 @@ in both are at least 0.6 of those found in either.
 
 1. Each distinct text gets MinHash values of its windows: ``BANDS * ROWS`` values grouped into bands
    for candidates, and ``CHECKS`` further values of one byte for verification.
-2. Texts that share a band's values are candidates. Buckets of more than ``BLOCK`` texts are split
-   into blocks, and pairs of blocks are spread over tasks, so that no task holds a whole hot bucket.
+2. Texts that share a band's values are candidates. How often each value occurs is counted with partial
+   sums; values that occur once, nearly all, are kept out of the join by a broadcast sketch of
+   bounded size. Buckets of more than ``BLOCK`` texts are divided into blocks, and pairs of blocks are
+   spread over tasks, so that no task holds a whole hot bucket.
 3. Candidates are verified sequentially: signatures are compared in batches of ``BATCH`` values;
    after each batch the posterior probability that the similarity reaches the bound is computed
    from the matches so far (uniform prior on the collision probability), and pairs below the chosen
    miss probability are pruned.
 4. Survivors are verified exactly on the texts.
 
-With 60 bands of 4 values a pair at similarity 0.6 is missed with probability 2.4e-4 (at 0.65:
-8e-6), and each Bayesian batch adds at most ``MISS``.
+With 40 bands of 3 values a pair at similarity 0.6 is missed with probability 6e-5 (at 0.65:
+3e-6), and each Bayesian batch adds at most ``MISS``. Rows with equal texts are one text throughout; only the
+list of pairs expands them, in blocks.
 
 Defined results: null texts count as empty; texts of fewer than 5 characters of compared text have
 no window and no partner; rows with a null id or an unknown source take no part; rows delivered
@@ -35,12 +38,14 @@ from pyspark.sql import functions as F
 
 from corpuloom.functions.windows import chunks, distinct_windows, mix64
 from corpuloom.llm.components import components
-from corpuloom.llm.texts import TRAIN, compared_rows, distinct_texts, with_split
+from corpuloom.llm.texts import TRAIN, compared_rows, distinct_texts, similar_texts, with_split
+from corpuloom.operators.sketches import Sketch, sketch
+from corpuloom.operators.skew import hot_keys, pairs_within, spread_join
 from corpuloom.runtime import materialise, spread
 
 N = 5
 SIMILARITY = 0.6
-BANDS, ROWS = 60, 4
+BANDS, ROWS = 40, 3
 CHECKS, BATCH = 128, 32
 MISS = 1e-5
 BLOCK = 1_000
@@ -49,28 +54,27 @@ BLOCK = 1_000
 @functools.lru_cache(maxsize=1)
 def _multipliers() -> np.ndarray:
     rng = np.random.default_rng(20240607)
-    return rng.integers(1, 1 << 32, size=BANDS * ROWS + CHECKS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    return rng.integers(1, 1 << 63, size=BANDS * ROWS + CHECKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(band hashes, check bytes) of texts with at least one window each."""
+    """(band hashes, check bytes) of texts with at least one window each.
+
+    Window hashes are mixed already, so that an odd multiplier gives another order of them.
+    """
     owner, h = distinct_windows(texts, N)
     start = np.searchsorted(owner, np.arange(len(texts)))
-    low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
     mult = _multipliers()
-    mins = np.empty((len(mult), len(texts)), np.uint32)
+    mins = np.empty((len(mult), len(texts)), np.uint64)
+    x = np.empty_like(h)
     with np.errstate(over="ignore"):
         for k, a in enumerate(mult):
-            x = low * a + (high ^ a)
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
-            x ^= x >> np.uint32(12)
+            np.multiply(h, a, out=x)
             mins[k] = np.minimum.reduceat(x, start)
-        bands = np.zeros((BANDS, len(texts)), np.uint64)
+        bands = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(texts), axis=1)
         for r in range(ROWS):
-            bands = mix64(bands * np.uint64(0x9E3779B97F4A7C15) + mins[: BANDS * ROWS].reshape(BANDS, ROWS, -1)[:, r].astype(np.uint64))
-    check = mins[BANDS * ROWS :]
-    check = (check * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+            bands = mix64(bands * np.uint64(0x9E3779B97F4A7C15) + mins[: BANDS * ROWS].reshape(BANDS, ROWS, -1)[:, r])
+        check = (mins[BANDS * ROWS :] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8)
     return bands.T.copy(), check.T.copy()
 
 
@@ -88,32 +92,35 @@ def least_matches(similarity: float, miss: float = MISS) -> tuple[int, ...]:
 
 
 def _signed(texts: DataFrame) -> DataFrame:
-    """key, check, bands of the distinct texts."""
+    """no, check, bands of the distinct texts; a band's hash is of its values and its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column(1).to_pylist()
-            for i, j in chunks(rows, 200_000):
+            for i, j in chunks(rows, 100_000):
                 bands, check = signatures(rows[i:j])
                 m = j - i
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), pa.array([x.tobytes() for x in check], pa.binary()), lists], ["key", "check", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), pa.array([x.tobytes() for x in check], pa.binary()), lists], ["no", "check", "bands"])
 
-    return texts.select("key", "text").where(F.length("text") >= N).mapInArrow(run, "key binary, check binary, bands array<bigint>")
+    return texts.select("no", "text").where(F.length("text") >= N).mapInArrow(run, "no bigint, check binary, bands array<bigint>")
 
 
 def _candidates(signed: DataFrame) -> DataFrame:
-    """key_a < key_b of texts that share a band, each pair once."""
-    entries = signed.select("key", F.posexplode("bands").alias("band", "h"))
-    sizes = entries.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(entries.join(sizes, ["band", "h"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")))
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    placed = shared.withColumn("block", block)
-    # each text meets its own block and, from the left, all later ones
-    left = placed.select("band", "h", F.col("key").alias("a"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
-    right = placed.select("band", "h", F.col("key").alias("b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
-    met = left.join(right, ["band", "h", "i", "j"]).where((F.col("a") < F.col("b")) | (F.col("i") != F.col("j")) & (F.col("a") != F.col("b")))
-    return met.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
+    """no_a < no_b of texts that share a band, each pair once."""
+    counts = materialise(signed.select(F.explode("bands").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = sketch(counts, counts.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = Sketch(*members.value)
+        for b in batches:
+            h = b.column(1).flatten().to_numpy()
+            at = np.flatnonzero(shared.has(h))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at // BANDS)), pa.array(h[at])], ["no", "h"])
+
+    entries = signed.select("no", "bands").mapInArrow(run, "no bigint, h bigint")
+    met = pairs_within(entries.join(counts, "h"), "h", "no", "n", BLOCK)
+    return met.select(F.col("a").alias("no_a"), F.col("b").alias("no_b")).distinct()
 
 
 def _prune(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -128,40 +135,23 @@ def _prune(pairs: DataFrame, similarity: float) -> DataFrame:
                 matches[alive] += (a[alive, part] == c[alive, part]).sum(axis=1)
                 alive = alive[matches[alive] >= m]
             at = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["key_a", "key_b"])
-
-    return pairs.select("key_a", "key_b", "check_a", "check_b").mapInArrow(run, "key_a binary, key_b binary")
-
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["no_a", "no_b"])
 
-def _exact(pairs: DataFrame, similarity: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, sims = [], []
-            last, a = None, set()
-            for k, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                if x != last:
-                    last, a = x, {x[i : i + N] for i in range(len(x) - N + 1)}
-                c = {y[i : i + N] for i in range(len(y) - N + 1)}
-                both = len(a & c)
-                if both >= similarity * (len(a) + len(c) - both):
-                    keep.append(k)
-                    sims.append(both / (len(a) + len(c) - both))
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(sims, pa.float64())], ["key_a", "key_b", "similarity"])
-
-    return pairs.select("key_a", "key_b", "text_a", "text_b").mapInArrow(run, "key_a binary, key_b binary, similarity double")
+    return pairs.select("no_a", "no_b", "check_a", "check_b").mapInArrow(run, "no_a bigint, no_b bigint")
 
 
 def similar_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """key_a < key_b, similarity: pairs of distinct texts that reach the bound."""
+    """key_a, key_b, similarity: pairs of distinct texts that reach the bound, each once."""
     signed = materialise(_signed(texts))
 
-    def side(frame: DataFrame, name: str, value: str) -> DataFrame:
-        return frame.select(F.col("key").alias(f"key_{name}"), F.col(value).alias(f"{value}_{name}"))
+    def check(x: str) -> DataFrame:
+        return signed.select(F.col("no").alias(f"no_{x}"), F.col("check").alias(f"check_{x}"))
 
-    pairs = _candidates(signed)
-    kept = materialise(_prune(pairs.join(side(signed, "a", "check"), "key_a").join(side(signed, "b", "check"), "key_b"), similarity))
-    return _exact(kept.join(side(texts, "b", "text"), "key_b").join(side(texts, "a", "text"), "key_a"), similarity)
+    pairs = materialise(_candidates(signed))
+    signatures_met = spread_join(spread_join(pairs, check("a"), "no_a", "no_b", hot_keys(pairs, "no_a")), check("b"), "no_b", "no_a", hot_keys(pairs, "no_b"))
+    kept = materialise(_prune(signatures_met, similarity))
+    found = similar_texts(kept, texts, texts, N, similarity)
+    return found.select("key_a", "key_b", (F.col("both") / F.col("either")).alias("similarity"))
 
 
 def _rows(samples: DataFrame, registry: DataFrame) -> DataFrame:
@@ -172,13 +162,13 @@ def _rows(samples: DataFrame, registry: DataFrame) -> DataFrame:
 def find(samples: DataFrame, registry: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """id_a < id_b: all pairs of training rows that are near-duplicates, copies included."""
     rows = _rows(samples, registry)
-    found = similar_classes(materialise(distinct_texts(rows)), similarity)
+    found = similar_classes(distinct_texts(rows), similarity)
     members = rows.where(F.length("text") >= N).select("key", "id").distinct()
     a, b = (members.select(F.col("key").alias(f"key_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
-    between = found.join(a, "key_a").join(b, "key_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a <> id_b")
-    twice = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    inside = members.join(twice, "key", "left_semi")
-    copies = inside.select("key", F.col("id").alias("id_a")).join(inside.select("key", F.col("id").alias("id_b")), "key").where("id_a < id_b").select("id_a", "id_b")
+    met = spread_join(b, spread_join(a, found.select("key_a", "key_b"), "key_a", "id_a"), "key_b", "id_b")
+    between = met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a <> id_b")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = pairs_within(members.join(sizes, "key"), "key", "id", "n", BLOCK).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     return between.unionAll(copies).distinct()
 
 
@@ -189,8 +179,7 @@ def groups(samples: DataFrame, registry: DataFrame, similarity: float = SIMILARI
     of the classes that its class is similar to.
     """
     rows = _rows(samples, registry)
-    texts = materialise(distinct_texts(rows))
-    found = materialise(similar_classes(texts, similarity))
+    found = materialise(similar_classes(distinct_texts(rows), similarity))
     members = rows.select("key", "id", (F.length("text") >= N).alias("long")).distinct()
     size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("long").alias("long"))
     both = found.select(F.col("key_a").alias("key"), F.col("key_b").alias("other")).unionAll(found.select(F.col("key_b").alias("key"), F.col("key_a").alias("other")))

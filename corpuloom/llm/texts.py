@@ -1,4 +1,4 @@
-"""Compared texts of rows, each distinct text once, and fixed-size hash sets.
+"""Compared texts of rows, each distinct text once, their windows, and exact verification of pairs.
 
 Groups of exact copies are one class everywhere: candidates are searched between distinct texts
 (:func:`distinct_texts`), and only a result that is defined on rows is spread to the members of a
@@ -7,7 +7,6 @@ class, by a join on the class key.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuloom.functions.windows import chunks, compared, distinct_windows
+from corpuloom.operators.sketches import Sketch, sketch
+from corpuloom.operators.skew import hot_keys, spread_join
 from corpuloom.runtime import materialise, spread
 
 TRAIN, EVAL = "train", ("val", "test")
-_SEGMENT = 16  # log2 of the bits of a segment of a hash set
 
 
 def with_split(samples: DataFrame, registry: DataFrame) -> DataFrame:
@@ -50,97 +50,108 @@ def compared_rows(df: DataFrame, keep: list[str], texts: list[str], least: int =
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
-    """key, text: each distinct text once, with partial aggregation before the shuffle."""
-    return rows.select("key", "text").dropDuplicates(["key"])
+    """key, text, no: each distinct text once with a number of its own, written to the shared folder.
+
+    Numbers stand for texts in all steps between, as they are half as long as keys.
+    """
+    once = rows.select("key", "text").dropDuplicates(["key"])  # partial aggregation before the shuffle
+    return materialise(once.withColumn("no", F.monotonically_increasing_id()))
 
 
-def windows_of(texts: DataFrame, n: int, also_count: bool = False) -> DataFrame:
-    """key, h (and the text's number of distinct windows, ``size``): the distinct windows of each text."""
+def windows_of(texts: DataFrame, n: int) -> DataFrame:
+    """no, h: the distinct windows of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column(1).to_pylist()
             for i, j in chunks(rows, 300_000):
                 owner, h = distinct_windows(rows[i:j], n)
-                cols = [b.column(0).take(pa.array(owner + i)), pa.array(h.view(np.int64))]
-                if also_count:
-                    cols.append(pa.array(np.bincount(owner, minlength=j - i)[owner].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(cols, ["key", "h", "size"][: len(cols)])
-
-    return texts.select("key", "text").mapInArrow(run, "key binary, h bigint" + ", size int" * also_count)
-
-
-class HashSet:
-    """A set of hashes as a bitmap of fixed size: it answers "maybe" or "no"."""
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner + i)), pa.array(h.view(np.int64))], ["no", "h"])
 
-    def __init__(self, bits: np.ndarray, log2: int):
-        self.bits, self.log2 = bits, log2
+    return texts.select("no", "text").mapInArrow(run, "no bigint, h bigint")
 
-    def has(self, h: np.ndarray) -> np.ndarray:
-        slot = h.astype(np.uint64) >> np.uint64(64 - self.log2)
-        return (self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-
-def hash_set(hashes: DataFrame, most_log2: int = 29):
-    """A broadcast :class:`HashSet` of column ``h``, of at most 2**most_log2 bits (64 MB) however many hashes there are.
-
-    It has about 16 bits a hash below that bound. A fuller set lets more windows pass, which the
-    joins after it sort out: the bound costs time, never rows. Segments are built on the executors.
-    """
-    spark = hashes.sparkSession
-    n = hashes.agg(F.approx_count_distinct("h")).first()[0]
-    log2 = min(max(math.ceil(math.log2(max(n, 1) * 16)), _SEGMENT + 4), most_log2)
-    segments = 1 << (log2 - _SEGMENT)
+def window_sketch(texts: DataFrame, n: int):
+    """Broadcast sketch of the windows of all texts and in how many of them each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
         for b in batches:
-            slot = b.column(0).to_numpy()
-            seg = slot >> _SEGMENT
-            for s in np.unique(seg):
-                bits = own.setdefault(int(s), np.zeros(1 << _SEGMENT, bool))
-                bits[slot[seg == s] & ((1 << _SEGMENT) - 1)] = True
-        for s, bits in own.items():
-            yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    slots = hashes.select(F.shiftrightunsigned("h", 64 - log2).alias("slot"))
-    parts = min(64, max(1, segments // 64))
-    made = slots.distinct().repartition(parts, F.shiftright("slot", _SEGMENT)).mapInArrow(run, "seg bigint, bits binary")
-    whole = np.zeros(1 << (log2 - 3), np.uint8)
-    each = 1 << (_SEGMENT - 3)
-    for seg, bits in made.toLocalIterator():  # segments: their number is fixed by log2
-        whole[seg * each : (seg + 1) * each] = np.frombuffer(bits, np.uint8)
-    return spark.sparkContext.broadcast((whole, log2))
+            rows = b.column(0).to_pylist()
+            for i, j in chunks(rows, 2_000_000):  # counted per chunk before the shuffle
+                u, c = np.unique(distinct_windows(rows[i:j], n)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["h", "n"])
+
+    expected = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    return sketch(texts.select("text").mapInArrow(run, "h bigint, n bigint"), expected)
 
 
 def windows_in(texts: DataFrame, n: int, members) -> DataFrame:
-    """key, h: the distinct windows of each text that may be in the broadcast set."""
+    """no, h: the distinct windows of each text that the broadcast sketch may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = HashSet(*members.value)
+        wanted = Sketch(*members.value)
         for b in batches:
             rows = b.column(1).to_pylist()
             for i, j in chunks(rows, 300_000):
                 owner, h = distinct_windows(rows[i:j], n)
                 ok = wanted.has(h)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner[ok] + i)), pa.array(h[ok].view(np.int64))], ["key", "h"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner[ok] + i)), pa.array(h[ok].view(np.int64))], ["no", "h"])
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, h bigint")
+    return texts.select("no", "text").mapInArrow(run, "no bigint, h bigint")
 
 
-def window_counts(texts: DataFrame, n: int, members) -> DataFrame:
-    """h, df: in how many of the texts each window of the broadcast set occurs; counted per chunk before the shuffle."""
+def seeds_of(texts: DataFrame, n: int, members, share: float, hits: int) -> DataFrame:
+    """no, h, t: of each text those of its windows of which any partner has ``t``, ``hits`` at most.
+
+    A partner has ``need``, the part ``share``, of a text's windows, and so ``t`` of any ``size - need + t`` of
+    them. The rarest ones by the broadcast sketch are taken; which ones are taken changes the time a join takes, never
+    what is found. Windows that the sketch lacks are rarest of all, and need not be looked for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = HashSet(*members.value)
+        seen = Sketch(*members.value)
         for b in batches:
             rows = b.column(1).to_pylist()
-            for i, j in chunks(rows, 2_000_000):
-                _, h = distinct_windows(rows[i:j], n)
-                u, c = np.unique(h[wanted.has(h)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["h", "df"])
+            for i, j in chunks(rows, 300_000):
+                owner, h = distinct_windows(rows[i:j], n)
+                count = seen.of(h)
+                size = np.bincount(owner, minlength=j - i)
+                found = np.bincount(owner[count > 0], minlength=j - i)
+                need = np.maximum(np.ceil(size * share - 1e-9).astype(np.int64), 1)
+                t = np.minimum(hits, need)
+                order = np.lexsort((h, count, owner))
+                owner, h, count = owner[order], h[order], count[order]
+                start = np.cumsum(size) - size
+                place = np.arange(len(owner)) - start[owner]
+                ok = (count > 0) & (found >= need)[owner] & (place < (size - need + t)[owner])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner[ok] + i)), pa.array(h[ok].view(np.int64)), pa.array(t[owner[ok]].astype(np.int32))], ["no", "h", "t"])
 
-    return texts.select("key", "text").mapInArrow(run, "h bigint, df bigint").groupBy("h").agg(F.sum("df").alias("df"))
+    return texts.select("no", "text").mapInArrow(run, "no bigint, h bigint, t int")
+
+
+def similar_texts(pairs: DataFrame, a: DataFrame, b: DataFrame, n: int, least: float) -> DataFrame:
+    """no_a, no_b, key_a, key_b, both, either of the pairs (no_a, no_b) of texts that reach the bound: counted exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, shared, union = [], [], []
+            last, x = None, set()
+            for k, (s, t) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                if s != last:
+                    last, x = s, {s[i : i + n] for i in range(len(s) - n + 1)}
+                y = {t[i : i + n] for i in range(len(t) - n + 1)}
+                both = len(x & y)
+                either = len(x) + len(y) - both
+                if both and both >= least * either:
+                    keep.append(k)
+                    shared.append(both)
+                    union.append(either)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(4)), pa.array(shared, pa.int32()), pa.array(union, pa.int32())], ["no_a", "no_b", "key_a", "key_b", "both", "either"])
+
+    left, right = (t.select(F.col("no").alias(f"no_{x}"), F.col("key").alias(f"key_{x}"), F.col("text").alias(f"text_{x}")) for t, x in ((a, "a"), (b, "b")))
+    both = spread_join(spread_join(pairs, right, "no_b", "no_a", hot_keys(pairs, "no_b")), left, "no_a", "no_b", hot_keys(pairs, "no_a"))
+    return both.select("no_a", "no_b", "key_a", "key_b", "text_a", "text_b").mapInArrow(run, "no_a bigint, no_b bigint, key_a binary, key_b binary, both int, either int")
 
 
 def train_and_eval(samples: DataFrame, registry: DataFrame, train_texts: list[str], eval_texts: list[str], least: int) -> tuple[DataFrame, DataFrame]:
@@ -155,4 +166,5 @@ def id_pairs(pairs: DataFrame, train: DataFrame, held: DataFrame) -> DataFrame:
     """id_a < id_b of all members of the classes in ``pairs`` (train_key, eval_key)."""
     a = train.select(F.col("key").alias("train_key"), F.col("id").alias("train_id")).distinct()
     b = held.select(F.col("key").alias("eval_key"), F.col("id").alias("eval_id")).distinct()
-    return pairs.join(a, "train_key").join(b, "eval_key").select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
+    met = spread_join(b, spread_join(a, pairs.select("train_key", "eval_key"), "train_key", "train_id"), "eval_key", "eval_id")
+    return met.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))

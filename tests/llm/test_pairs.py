@@ -60,8 +60,8 @@ def test_overlap(spark, rows):
 
 def test_overlap_in_many_shards(spark, rows, monkeypatch):
     whole = pairs(overlap.find(samples(spark, rows), registry(spark)))
-    build = overlap.build_shards
-    monkeypatch.setattr(overlap, "build_shards", lambda t: build(t, 400))
+    monkeypatch.setattr(overlap, "SHARD_CHARS", 400)
+    monkeypatch.setattr(overlap, "GROUP_CHARS", 3000)
     assert pairs(overlap.find(samples(spark, rows), registry(spark))) == whole
 
 
@@ -82,6 +82,8 @@ def test_index_counts():
         where = [(k, i) for k, t in enumerate(texts) for i in range(len(t)) if t.startswith(p, i)]
         assert max(hi[0] - lo[0], 0) == len(where)
         assert sorted(ix.text_of[lo[0] : hi[0]].tolist()) == [k for k, _ in where]
+        a, b = ix.intervals(s, np.array([0]), len(p))
+        assert b[0] - a[0] == len(where)
 
 
 def near(rows):
@@ -119,6 +121,31 @@ def test_hot_group(spark, monkeypatch):
     assert pairs(neardup.find(samples(spark, rows), registry(spark))) == near(rows) and len(near(rows)) == 780
 
 
+def test_hot_copies(spark, monkeypatch):
+    """A third of all rows are copies of one text, and as many share a stock phrase with many items; keys are divided into blocks."""
+    from corpuloom.operators import skew
+
+    random.seed(4)
+    monkeypatch.setattr(skew, "BLOCK", 5)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    stock, han = "请在下列备选答案中选出与题干关系最密切的一项", "甲乙丙丁戊己庚辛壬癸子丑寅卯"
+    copied = "".join(random.choices(han, k=40))
+    rows = [(f"tr-c{i:02d}", "tr", copied, None) for i in range(20)]
+    rows += [(f"tr-s{i:02d}", "tr", stock + "".join(random.choices(han, k=30)), None) for i in range(20)]
+    rows += [(f"va-s{i:02d}", "va", stock + "".join(random.choices(han, k=i)), None) for i in range(12)] + [("te-c", "te", copied + "题", None)]
+    s, r = samples(spark, rows), registry(spark)
+    want = set()
+    for t in of_split(rows, True).values():
+        for e in of_split(rows, False).values():
+            w = windows(e[2], 10)
+            if len(w & windows(t[2], 10)) >= 0.5 * len(w):
+                want.add(tuple(sorted((t[0], e[0]))))
+    assert pairs(leakage.find(s, r)) == want and len(want) > 100
+    assert {p for p in pairs(overlap.find(s, r)) if "te-c" in p} == {("te-c", f"tr-c{i:02d}") for i in range(20)}
+    assert pairs(neardup.find(s, r)) == near(rows) and len(near(rows)) >= 190
+    assert {(x["group_id"], x["links"]) for x in neardup.groups(s, r).collect() if x["id"].startswith("tr-c")} == {("tr-c00", 19)}
+
+
 def test_posterior_bounds():
     least = neardup.least_matches(0.6)
     assert list(least) == sorted(least) and all(m < 0.6 * n for m, n in zip(least, (32, 64, 96, 128)))
