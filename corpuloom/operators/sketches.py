@@ -26,19 +26,29 @@ _SEGMENT = 16  # log2 of the counters of a segment
 
 
 class Sketch:
-    def __init__(self, counts: np.ndarray, log2: int):
-        self.counts, self.shift = counts, np.uint64(64 - log2)
+    """Counters by segment, compressed; put together where they are first asked."""
+
+    def __init__(self, segments: dict[int, bytes], log2: int):
+        self.segments, self.log2 = segments, log2
+        self._counts: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {"segments": self.segments, "log2": self.log2, "_counts": None}
 
     def of(self, h: np.ndarray) -> np.ndarray:
         """Upper bounds of the counts of hashes (saturating at 255)."""
-        return self.counts[(h.astype(np.uint64) >> self.shift).astype(np.int64)]
+        if self._counts is None:
+            self._counts = np.zeros(1 << self.log2, np.uint8)
+            for seg, packed in self.segments.items():
+                self._counts[seg << _SEGMENT : (seg + 1) << _SEGMENT] = np.frombuffer(zlib.decompress(packed), np.uint8)
+        return self._counts[(h.astype(np.uint64) >> np.uint64(64 - self.log2)).astype(np.int64)]
 
     def has(self, h: np.ndarray) -> np.ndarray:
         return self.of(h) > 0
 
 
 def sketch(hashes: DataFrame, expected: int, most_log2: int = MOST_LOG2) -> Broadcast:
-    """Broadcast arguments of a :class:`Sketch` of the column ``h`` (times ``n`` where there is such a column).
+    """Broadcast :class:`Sketch` of the column ``h`` (times ``n`` where there is such a column).
 
     Counters are summed before the shuffle, segments are built on the executors, and the driver puts
     a number of segments together that is fixed by the size of the sketch.
@@ -62,7 +72,5 @@ def sketch(hashes: DataFrame, expected: int, most_log2: int = MOST_LOG2) -> Broa
 
     parts = min(16, max(1, (1 << log2 - _SEGMENT) // 16))
     made = slots.repartition(parts, F.shiftright("slot", _SEGMENT)).mapInArrow(run, "seg bigint, counts binary")
-    whole = np.zeros(1 << log2, np.uint8)
-    for seg, counts in made.collect():  # segments: their number is fixed by log2
-        whole[seg << _SEGMENT : (seg + 1) << _SEGMENT] = np.frombuffer(zlib.decompress(counts), np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast((whole, log2))
+    segments = {seg: bytes(counts) for seg, counts in made.collect()}  # their number is fixed by log2
+    return hashes.sparkSession.sparkContext.broadcast(Sketch(segments, log2))

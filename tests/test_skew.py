@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpuloom.operators.sketches import Sketch, sketch
+from corpuloom.operators.sketches import sketch
 from corpuloom.operators.skew import pairs_within, spread_join
 
 
@@ -33,9 +33,9 @@ def test_sketch(spark):
     rng = np.random.default_rng(1)
     h = rng.integers(-(1 << 63), 1 << 63, 5000, dtype=np.int64)
     df = spark.createDataFrame([(int(x), int(i % 300 + 1)) for i, x in enumerate(h)], "h bigint, n bigint")
-    s = Sketch(*sketch(df, 5000).value)
+    s = sketch(df, 5000).value
     assert (s.of(h.view(np.uint64)) >= np.minimum(np.arange(5000) % 300 + 1, 255)).all()
     others = rng.integers(0, 1 << 64, 20000, dtype=np.uint64)
     assert s.has(others).mean() < 0.1
-    assert not Sketch(*sketch(df.limit(0), 0).value).has(others).any()
-    assert Sketch(*sketch(df.select("h"), 5000, most_log2=16).value).has(h.view(np.uint64)).all()  # a full one passes more, never less
+    assert not sketch(df.limit(0), 0).value.has(others).any()
+    assert sketch(df.select("h"), 5000, most_log2=16).value.has(h.view(np.uint64)).all()  # a full one passes more, never less
