@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from corpuloom.functions.windows import chunks, distinct_windows, mix64
 from corpuloom.llm.components import components
 from corpuloom.llm.texts import TRAIN, compared_rows, distinct_texts, similar_texts, with_split
-from corpuloom.operators.sketches import Sketch, sketch
+from corpuloom.operators.sketches import sketch
 from corpuloom.operators.skew import hot_keys, pairs_within, spread_join
 from corpuloom.runtime import materialise, spread
 
@@ -112,7 +112,7 @@ def _candidates(signed: DataFrame) -> DataFrame:
     members = sketch(counts, counts.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = Sketch(*members.value)
+        shared = members.value
         for b in batches:
             h = b.column(1).flatten().to_numpy()
             at = np.flatnonzero(shared.has(h))

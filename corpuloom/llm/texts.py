@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuloom.functions.windows import chunks, compared, distinct_windows
-from corpuloom.operators.sketches import Sketch, sketch
+from corpuloom.operators.sketches import sketch
 from corpuloom.operators.skew import hot_keys, spread_join
 from corpuloom.runtime import materialise, spread
 
@@ -89,7 +89,7 @@ def windows_in(texts: DataFrame, n: int, members) -> DataFrame:
     """no, h: the distinct windows of each text that the broadcast sketch may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = Sketch(*members.value)
+        wanted = members.value
         for b in batches:
             rows = b.column(1).to_pylist()
             for i, j in chunks(rows, 300_000):
@@ -109,7 +109,7 @@ def seeds_of(texts: DataFrame, n: int, members, share: float, hits: int) -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Sketch(*members.value)
+        seen = members.value
         for b in batches:
             rows = b.column(1).to_pylist()
             for i, j in chunks(rows, 300_000):
