@@ -20,12 +20,16 @@ def hot_keys(rows: DataFrame, on: str, block: int | None = None, count: str | No
     return counted.where(F.col("__n") > block).select(on, F.ceil(F.col("__n") / F.lit(block)).cast("int").alias("__blocks"))
 
 
-def spread_join(many: DataFrame, few: DataFrame, on: str, by: str, hot: DataFrame | None = None, block: int | None = None) -> DataFrame:
-    """``many`` joined with ``few`` on ``on``; a hot key's rows of ``many`` are spread by a hash of ``by``, its rows of ``few`` repeated for each block."""
+def spread_join(many: DataFrame, few: DataFrame, on: str, by: str, hot: DataFrame | None = None, block: int | None = None, how: str = "inner") -> DataFrame:
+    """``many`` joined (inner or left) with ``few`` on ``on``; a hot key's rows of ``many`` are spread by a hash of ``by``, its rows of ``few`` repeated for each block.
+
+    Rows of ``many`` without key, which a left join keeps, are spread, too.
+    """
     hot = hot if hot is not None else hot_keys(many, on, block)
-    salted = many.join(hot, on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("__blocks")), F.lit(0)).cast("int")).drop("__blocks")
+    salt = F.when(F.col(on).isNull(), F.pmod(F.xxhash64(by), F.lit(997))).otherwise(F.coalesce(F.pmod(F.xxhash64(by), F.col("__blocks")), F.lit(0)))
+    salted = many.join(hot.where(F.col(on).isNotNull()), on, "left").withColumn("__salt", salt.cast("int")).drop("__blocks")
     repeated = few.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__blocks"), F.lit(1)) - 1))).drop("__blocks")
-    return salted.join(repeated, [on, "__salt"]).drop("__salt")
+    return salted.join(repeated, [on, "__salt"], how).drop("__salt")
 
 
 def pairs_within(rows: DataFrame, group: str, item: str, size: str, block: int = 1_000) -> DataFrame:

@@ -17,6 +17,8 @@ def test_spread_join(spark):
     plain = sorted(map(repr, many.join(few, "k").select("k", "v", "w").collect()))
     assert sorted(map(repr, spread_join(many, few, "k", "v", block=100).select("k", "v", "w").collect())) == plain
     assert sorted(map(repr, spread_join(many, few, "k", "v", block=10**9).select("k", "v", "w").collect())) == plain
+    kept = sorted(map(repr, many.join(few, "k", "left").select("k", "v", "w").collect()))
+    assert sorted(map(repr, spread_join(many, few, "k", "v", block=100, how="left").select("k", "v", "w").collect())) == kept
     assert spread_join(many.limit(0), few, "k", "v").count() == 0
 
 
