@@ -5,21 +5,27 @@ Every answer of ``outputs.output`` and ``dpo_samples.solutions`` gets at most on
 * *empty*: null, blank, or nothing but a placeholder or a frame without content;
 * *copy*: gives back the question. A suffix automaton of the prompt (question and options) is walked
   with the answer; the share of the answer covered by matches of at least 5 characters is measured;
-* *refusal*: an automaton of refusal phrases finds one, and no final answer is given;
+* *refusal*: an automaton finds a clause that declines (that one cannot or will not, what is declined, and whom or what
+  it concerns), and no final answer is given outside such clauses;
 * *truncated*: ends inside a sentence or word (below);
 * *language*: the language of the answer, by script and stopword votes over its sentences, is not
   the question's. Frames, final answers and terms alone do not vote.
 
-An answer is cut off when it ends neither with a finished sentence nor with a complete final
-answer. For a final answer in words, the evidence is the vocabulary of the corpus's reference
-answers, all its tokens and their prefixes in a table that last tokens are joined with: an ending is complete if known answers end with its last token; a last token that is a
-proper prefix of known words, or only known from inside answers, was cut. Length is further
-evidence: runs where many answers have exactly the same length and hardly any a greater one have a limit, and a final answer
-in words that ends at the limit was cut. Delimiters that are still open at the end count as cut.
+An answer is cut off when there is evidence of one of three kinds, asked in this order:
+
+* *word*: its last word is an unknown proper prefix of known words. The vocabulary is a trie of all answers, reference
+  answers, options and questions (``vocabulary.py``), and every text without a mark behind its last word is asked;
+* *length*: it has the length limit of its run. Runs where many answers have exactly the same length and hardly
+  any a greater one have a limit;
+* *form*: it ends neither with a finished sentence nor with a final answer. A word may be known and its
+  sentence still cut, so this is what finds most cuts between words. Delimiters that are still open count as cut.
+
+A final answer in words ends without a stop and is cut only by word or length; a text that is one short line without any
+clause is complete only if its last word ends something elsewhere.
 
 The first pass sees answers only; questions are joined on slim rows, and every answer that is not
 settled by then is walked through its prompt: a final answer counts against a copy only if it is not
-itself the prompt's text. A hot item is an ordinary skewed join key.
+itself the prompt's text. Answers of a hot item, or of none, are spread over tasks.
 
 Defined results: rows delivered twice count once; answers to unknown or null items can only be
 empty, truncated or refusals; a null or empty ``solutions`` array gives no rows, a null element is
@@ -39,6 +45,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuloom.functions.windows import compared
+from corpuloom.llm.vocabulary import INVISIBLE, last_word, looked_up, word_hashes
+from corpuloom.operators.skew import spread_join
 from corpuloom.runtime import materialise, spread
 
 # ---- fixed word lists -------------------------------------------------------------------------
@@ -46,48 +54,68 @@ from corpuloom.runtime import materialise, spread
 FRAMES = ("最终答案", "正确答案", "参考答案", "答案是", "答案为", "答案", "综上", "故选", "解析", "思考", "回答", "finalanswer", "theansweris", "correctanswer", "answer", "explanation", "solution", "response", "think", "thinking", "boxed", "assistant", "text")
 #: Compared texts that stand for nothing.
 PLACEHOLDERS = frozenset(("", "无", "暂无", "略", "空", "待补充", "待定", "未知", "没有", "null", "none", "nil", "na", "nan", "undefined", "todo", "tbd", "empty", "missing", "unknown", "blank", "noanswer", "nooutput", "noresponse", "无内容", "无答案", "无输出", "此处填写", "error", "x", "xxx"))
-#: Phrases with which an answer is declined.
-REFUSALS = (
-    "不便作答", "不予作答", "不作答", "无法作答", "无法回答", "不能回答", "暂不回答", "拒绝回答", "不便回答", "不方便回答", "恕难回答", "无法给出这道题", "无法给出答案", "不能给出答案", "没办法协助", "无法协助", "不能协助", "难以为您", "无法为您", "不能为您", "不能提供诊断", "无法提供诊断", "不提供诊断",
-    "无法提供医疗", "不能提供医疗", "无法提供帮助", "必须拒绝", "只能拒绝", "婉拒", "恕不能", "恕我不", "恕我没办法", "恕我无法", "不会提供任何", "无法提供任何", "不能讨论", "无法讨论", "超出了我的范围", "超出我的能力", "我没有行医资格", "不能替您", "无法替您",
-    "i can't help", "i cannot help", "i can not help", "can't help with", "cannot help with", "unable to help", "i must decline", "have to decline", "must refuse", "i decline to", "i won't be able to", "i will not be able to", "i'm unable to", "i am unable to", "i'm not able to", "i am not able to", "cannot choose an option", "can't choose an option",
-    "i can't provide", "i cannot provide", "i can't answer", "i cannot answer", "i can't give", "i cannot give", "unable to give medical advice", "isn't appropriate for me to", "is not appropriate for me to", "not permitted to", "i'm permitted to discuss", "outside what i", "beyond what i", "prevent me from", "i'd rather not answer",
-    "i would rather not answer", "i prefer not to answer", "not comfortable answering", "i refuse to", "not qualified to", "as a language model, i", "as an ai, i can", "questions of this sort", "cannot comment on", "can't comment on", "not something i can", "nothing i can offer", "cannot assist", "can't assist", "unable to assist",
-)
-#: Frequent short words by language, for votes on texts in Latin letters; none is a word of another.
+#: Parts of a clause that declines: that one cannot or will not, what is declined, and whom or what it concerns.
+DECLINES = {
+    "not": (
+        "无法", "不能", "不便", "不方便", "不予", "不宜", "不可以", "不愿", "不肯", "不敢", "不会", "不该", "不应", "不适合", "不适宜", "不作", "不做", "暂不", "无权", "难以", "恕难", "恕不", "没办法", "没法", "拒绝", "婉拒", "谢绝", "回避", "不得不拒", "超出", "爱莫能助",
+        "can't", "cannot", "can not", "won't", "will not", "wouldn't", "unable to", "not able to", "decline", "refuse", "not permitted", "not allowed", "not authorized", "not authorised", "not appropriate", "isn't appropriate", "inappropriate", "not qualified", "not comfortable", "uncomfortable", "rather not", "prefer not", "not going to",
+        "prevent me", "prevents me", "outside", "beyond", "against my", "no answer", "not something i", "nothing i can", "not in a position", "impossible for me", "don't provide", "do not provide", "don't answer", "do not answer", "don't give", "do not give", "must pass", "have to pass",
+    ),
+    "answer": ("回答", "作答", "解答", "答复", "答题", "奉告", "答案", "answer", "respond", "reply", "help", "assist"),
+    "give": ("提供", "给出", "给予", "协助", "帮助", "帮您", "帮你", "讨论", "谈论", "评论", "选择", "选出", "诊断", "判断", "建议", "代替", "完成", "处理", "请求", "要求", "提问", "问题", "provid", "give", "giving", "choose", "select", "pick", "comment", "discuss", "recommend", "advis", "advice", "weigh", "diagnos", "suggest", "offer", "engage", "complete", "request", "question", "this one"),
+    "whom": ("我", "您", "恕", "题", "提问", "问题", "请求", "意见", "本系统", "本助手", "本模型", "用药建议", "i ", "i'", "me ", "my ", "question", "request", "this one", "as an ai", "assistant", "language model"),
+}
+#: Whose inability a case history tells.
+PATIENTS = ("患者", "病人", "患儿", "家属", "产妇", "孕妇", "老人", "patient", "he ", "she ", "family")
+#: Frequent short words by language, for votes on texts in Latin letters; none is a word of English.
 STOPWORDS = {
-    "en": "the of and with is to for by has at this that not from are was would if so both be ought stay should leaves than who",
-    "es": "el los las del que una con para lo fue desde hace su más por al como y",
-    "fr": "le les des du et une pour avec qui dans est pas au sur ce cette il elle été aux",
-    "de": "der das und ist nicht mit von zu den ein eine auf für dem sich wird bei nach",
-    "pt": "os da em um uma com não foi ao mais pelo pela são dos",
-    "it": "gli di della che non si è dal nel più sono alla",
+    "en": "the of and with is to for by has at this that not from are was would if so both be ought stay should leaves than who it in on as were been had but an or which can may",
+    "es": "el los las del que una con para lo fue desde hace su más por al como y pero este está",
+    "fr": "le les des du et une pour avec qui dans est pas au sur ce cette il elle été aux sont mais",
+    "de": "der das und ist nicht mit von zu den ein eine auf für dem sich wird bei nach aber sind",
+    "pt": "os da em um uma com não foi ao mais pelo pela são dos mas está",
+    "it": "gli di della che non si è dal nel più sono alla ma questo",
+    "nl": "het een van met voor niet zijn wordt deze bij maar ook naar door heeft",
+    "pl": "jest nie się na przez oraz dla jako który która po od przy ale był",
+    "tr": "bir ve ile için bu olarak olan daha çok gibi ise değil olduğu",
+    "sv": "och att det som är för inte av den på har med till ett",
+    "da": "og at det som er ikke af den på har med til et være blev",
+    "ro": "și este cu pentru din nu care sau fost sunt într mai",
+    "cs": "je se na že jako byl která nebo při pro ale není",
+    "hu": "egy és nem hogy az volt mint vagy meg csak",
+    "fi": "ja ei on että se oli mutta kun tai joka",
+    "id": "yang dan dengan tidak untuk dari pada adalah ini itu dalam karena",
+    "vi": "và là của không được có cho với một những các bệnh",
 }
 
 _LETTERS = r"[A-J](?:[\s,，、/和及&]*[A-J])*"
-#: Ends with a final answer made of option letters.
+#: Ends with a final answer made of option letters. Lines are matched, so that the patterns cross none.
 _CHOICE_END = re.compile(
-    rf"(?:(?:答案|故选|应选|选择?|选项|→|=>|[Aa]nswer|ANSWER|choose|pick|select|option|is)[^A-Za-z\n]{{0,6}}\(?\s*{_LETTERS}\s*[)）]?[。.\s]*[*】」”\"']*|\\boxed\{{\s*{_LETTERS}\s*\}}[。.$\s]*|^\W*{_LETTERS}\W*)$"
+    rf"(?:(?:答案|故选|应选|选择?|选项|→|=>|[Aa]nswer|ANSWER|choose|pick|select|option|is)[^A-Za-z]{{0,6}}\(?\s*{_LETTERS}\s*[)）]?[。.\s]*[*】」”\"']*|\\boxed\{{\s*{_LETTERS}\s*\}}[。.$\s]*)$"
 )
-#: Ends with a final answer in words: the group is the answer.
-_WORDS_END = re.compile(r"(?:^|\n|[。.；;，,]\s?)[^\n。]{0,12}?(?:最终答案|正确答案|参考答案|答案(?:是|为)?|[Ff]inal [Aa]nswer|[Aa]nswer(?: is)?|→|=>)\s*(?:\*\*)?\s*[:：是为]?\s*(?:\*\*)?\s*([^\s:：*][^\n]{0,119})$")
-_BOXED_END = re.compile(r"\\boxed\{([^{}\n]{1,160})\}[。.$\s]*$")
-_BOLD_END = re.compile(r"\*\*[^*\n]{1,160}\*\*[。.\s]*$")
+_LETTERS_ONLY = re.compile(rf"\W*{_LETTERS}\W*")
+#: A short final answer in words has at most so many characters.
+SHORT_ANSWER = 80
+_WORDS_END = re.compile(rf"(?:^|[。.；;，,]\s?)[^。]{{0,12}}?(?:最终答案|正确答案|参考答案|答案(?:是|为)?|[Ff]inal [Aa]nswer|[Aa]nswer(?: is)?|→|=>)\s*(?:\*\*)?\s*[:：是为]?\s*(?:\*\*)?\s*[^\s:：*].{{0,{SHORT_ANSWER - 1}}}$")
+_BOXED_END = re.compile(r"\\boxed\{[^{}]+\}[。.$\s]*$")
+_BOLD_END = re.compile(r"\*\*[^*]+\*\*[。.\s]*$")
 #: What may stand between the announcement of a final answer and the answer: never the end of a sentence or clause.
 _LINK = r"[^\w。．.｡，,、；;！!？?…]{0,4}(?:是|为)?[^\w。．.｡，,、；;！!？?…]{0,4}"
+_CHOOSE = r"(?:choose|pick|select|go with)"
 #: A final answer somewhere: given, whatever comes around it.
-_GIVEN = re.compile(rf"\\boxed\{{[^{{}}]+\}}|(?:答案|【答案】|故选|应选){_LINK}(?:[A-J]\b|[A-J](?![a-z])|[㐀-鿿]{{2}})|[Aa]nswer\**\s*[:：]\**\s*\w|[Aa]nswer is \(?\w|(?:would|I) (?:choose|pick|select) \(?[A-J]{{1,10}}\b|→\s*\w|So it is \w")
-#: Between a phrase of refusal and what it refuses.
-_REFUSED = re.compile(r"\s*(?:的|该题的|此题的|本题的)?(?:最终|正确|参考|标准)?")
-_FINISHED = re.compile(r"[。．.!！?？…｡]['\"”’」』）)\]】*_`|\s]*$")
-_LIST_MARK = re.compile(r"(?:^|\n)\s*(?:\d{1,3}|[A-Za-z])\.$")
-_INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad \t\r\n\v\f\x00\u00a0\u3000"
+_GIVEN = re.compile(rf"\\boxed\{{[^{{}}]+\}}|(?:答案|【答案】|故选|应选){_LINK}(?:[A-J]\b|[A-J](?![a-z])|[㐀-鿿]{{2}})|[Aa]nswer\**\s*[:：]\**\s*\w|[Aa]nswer is \(?\w|(?:would|will|I|we) {_CHOOSE} \(?[A-J]{{1,10}}\b|→\s*\w")
+_STOPS, _BEHIND = "。．.!！?？…｡", "'\"”’」』）)]】*_`| \t\r\n\v\f\u3000\u00a0"
+_LIST_MARK = re.compile(r"\s*(?:\d{1,3}|[A-Za-z])\.$")
+_CLAUSE = re.compile(r"[，,：:；;。！？!?]|\.\s")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _HAN, _KANA, _LATIN = re.compile("[\u3400-\u9fff\uf900-\ufaff]"), re.compile("[\u3040-\u30ff\u31f0-\u31ff]"), re.compile("[A-Za-z\u00c0-\u024f]")
 _SCRIPTS = {"ru": re.compile(r"[Ѐ-ӿ]"), "ko": re.compile(r"[가-힯ᄀ-ᇿ]"), "ar": re.compile(r"[؀-ۿ]"), "el": re.compile(r"[Ͱ-Ͽ]"), "th": re.compile(r"[฀-๿]"), "he": re.compile(r"[֐-׿]"), "hi": re.compile(r"[ऀ-ॿ]")}
-_STOP = {w: lang for lang in reversed(STOPWORDS) for w in STOPWORDS[lang].split()}
+_STOP: dict[str, list[str]] = {}
+for _lang, _words in STOPWORDS.items():
+    for _w in _words.split():
+        _STOP.setdefault(_w, []).append(_lang)
 _SENTENCES = re.compile(r"(?<=[。！？!?\n])|(?<=\.)\s")
-_FINAL_LINE = re.compile(r"(?:最终答案|正确答案|答案|【答案】|故选|综上|→|\\boxed|[Ff]inal [Aa]nswer|[Aa]nswer\W|The answer|I would choose|So it is)[^\n]*$")
+_FINAL_LINE = re.compile(rf"(?:最终答案|正确答案|答案|【答案】|故选|综上|→|\\boxed|[Ff]inal [Aa]nswer|[Aa]nswer\W|The answer|(?:would|will|I|we) {_CHOOSE} \(?[A-J])[^\n]*$")
 _LEAD = re.compile(r"^\W*(?:解析|解答|思考|回答|[Ee]xplanation|[Aa]nswer|[Ss]olution|[Rr]esponse)\s*[:：]")
 
 # ---- languages --------------------------------------------------------------------------------
@@ -115,84 +143,20 @@ def language(text: str, least: int = 12) -> str | None:
         return best
     votes = dict.fromkeys(STOPWORDS, 0)
     for w in _WORD.findall(text.lower()):
-        if w in _STOP:
-            votes[_STOP[w]] += 1
+        for lang in _STOP.get(w, ()):
+            votes[lang] += 1
     other = max((k for k in votes if k != "en"), key=votes.get)
     return other if votes[other] >= 3 and votes[other] > votes["en"] else "en"
 
 
 def said(text: str) -> str:
     """The answer without leading frame and final line: what votes for a language."""
-    return _FINAL_LINE.sub("", _LEAD.sub("", text.strip(_INVISIBLE)).rstrip(_INVISIBLE))
+    return _FINAL_LINE.sub("", _LEAD.sub("", text.strip(INVISIBLE)).rstrip(INVISIBLE))
 
 
 # ---- endings ----------------------------------------------------------------------------------
 
 
-def last_token(text: str) -> tuple[str, bool]:
-    """The last word of a text in an alphabet, or its last two characters; whether the text is in Han."""
-    text = text.strip().rstrip("*。.】」”\"' ")
-    if text and _HAN.match(text[-1]):
-        return text[-2:], True
-    words = _WORD.findall(text.lower())
-    return (words[-1] if words and text.lower().endswith(words[-1]) else text[-1:].lower()), False
-
-
-def tokens(text: str) -> list[str]:
-    """All tokens of a reference answer that could be last tokens."""
-    out = [w for w in _WORD.findall(text.lower()) if not _HAN.match(w)]
-    for run in re.findall(r"[㐀-鿿]+", text):
-        out += [run[i : i + 2] for i in range(len(run) - 1)]
-        out += run
-    return out
-
-
-class Vocabulary:
-    """Trie of known tokens (as the set of its nodes) with those that end reference answers: in memory what ``vocabulary`` is as a table."""
-
-    def __init__(self, known: dict[str, int]):
-        self.known = set(known)
-        self.ends = {t for t, ends in known.items() if ends}
-        self.nodes = {t[:i] for t in known for i in range(1, len(t))}
-
-    def cut(self, answer: str) -> bool:
-        token, han = last_token(answer)
-        if not token or token in self.ends:
-            return False
-        if han and token[-1] in self.ends:  # a rare pair whose last character closes answers
-            return False
-        return token in self.known or token in self.nodes
-
-
-def vocabulary(samples: DataFrame) -> tuple[DataFrame, frozenset[str]]:
-    """token, ends: all tokens of the reference answers of open questions and their prefixes; the single Han characters that close answers.
-
-    The table is joined; the characters are collected, at most the script's.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict[str, list[int]] = {}
-            for gold in b.column(0).to_pylist():
-                for t in tokens(gold):
-                    seen.setdefault(t, [0, 0])[0] += 1
-                token, han = last_token(gold)
-                for t in {token, token[-1:]} if han else {token}:
-                    seen.setdefault(t, [0, 0])[1] += 1
-            for t in list(seen):
-                for i in range(1, len(t)):
-                    seen.setdefault(t[:i], [0, 0])
-            yield pa.RecordBatch.from_pydict({"token": pa.array(list(seen), pa.string()), "n": pa.array([x[0] for x in seen.values()], pa.int64()), "ends": pa.array([x[1] for x in seen.values()], pa.int64())})
-
-    # reference answers that are a sentence or more say nothing about short final answers
-    golds = samples.where(F.col("options").isNull() & F.col("gold").isNotNull()).select(F.substring_index(F.regexp_replace(F.trim("gold"), r"[。.\s]+$", ""), "考虑", -1).alias("gold")).where(F.length("gold").between(1, 80))
-    counts = golds.mapInArrow(run, "token string, n bigint, ends bigint").groupBy("token").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-    # a single character closes answers by itself only if it mostly does
-    known = materialise(counts.select("token", ((F.col("ends") > 0) & (F.col("ends") * F.when(F.length("token") > 1, 50).otherwise(3) >= F.col("n"))).alias("ends")))
-    single = known.where(F.col("ends") & (F.length("token") == 1)).select("token").collect()  # bounded by the script
-    return known, frozenset(r["token"] for r in single if _HAN.match(r["token"]))
-
-
 _OPEN = {"（": "）", "(": ")", "「": "」", "『": "』", "【": "】", "“": "”", "{": "}", "[": "]"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
 
@@ -209,48 +173,42 @@ def open_at_end(text: str) -> bool:
     return bool(stack) or line.count("**") % 2 == 1
 
 
-def ending(text: str, at_limit: bool = False) -> bool | tuple[str, bool]:
-    """Whether the text ends inside a sentence or word; where only the vocabulary tells, its words and whether they are all of the text."""
-    end = text.rstrip(_INVISIBLE)
-    tail = end[-400:]
-    if not end:
-        return False
-    if _LIST_MARK.search(tail):
-        return True
-    if _FINISHED.search(tail):
-        return False
-    if open_at_end(tail):
-        return True
-    if _CHOICE_END.search(tail):
-        return False
-    if _BOXED_END.search(tail) or _BOLD_END.search(tail):
-        return False
-    m = _WORDS_END.search(tail)
-    if m:
-        return at_limit or (m.group(1), False)
-    line = tail[tail.rfind("\n") + 1 :].strip()
-    if len(line) <= 40 and line == end and not re.search(r"[，,：:；;]", line):  # nothing but a short answer
-        return line, True
-    return True
+WHOLE, OPEN, FINAL, ALONE = range(4)
 
 
-def unfinished(text: str, words: Vocabulary, at_limit: bool = False) -> bool:
-    """Whether the text ends inside a sentence or word, by a vocabulary at hand."""
-    end = ending(text, at_limit)
-    if isinstance(end, bool):
-        return end
-    line, alone = end
-    return last_token(line)[0] not in words.ends if alone else words.cut(line)
+def ending(text: str) -> int:
+    """WHOLE: ends with a finished sentence or a final answer of letters or in marks; FINAL: with a final answer in words;
+    ALONE: is one short line without any clause; OPEN: ends otherwise."""
+    end = text.strip(INVISIBLE)
+    if not end:
+        return WHOLE
+    line = end[end.rfind("\n") + 1 :]
+    if _LIST_MARK.fullmatch(line):
+        return OPEN
+    if end.rstrip(_BEHIND)[-1:] in _STOPS:
+        return WHOLE
+    if open_at_end(line):
+        return OPEN
+    if _CHOICE_END.search(line) or _BOXED_END.search(line) or _BOLD_END.search(line) or line == end and _LETTERS_ONLY.fullmatch(line):
+        return WHOLE
+    if _WORDS_END.search(line):
+        return FINAL
+    return ALONE if line == end and len(line) <= SHORT_ANSWER and not _CLAUSE.search(line) else OPEN
 
 
 # ---- defects that need no question ------------------------------------------------------------
 
 
+_FRAME = re.compile("|".join(sorted(FRAMES, key=len, reverse=True)))
+_LONGEST = max(map(len, (*FRAMES, *PLACEHOLDERS)))
+
+
 def is_empty(text: str | None) -> bool:
     if not text:
         return True
-    if len(text) > 200:
-        return not text.strip(_INVISIBLE)
+    # what is left of a beginning without its frames, but for one that is cut in two, is left of the whole
+    if len(text) > 8 * _LONGEST and len(_FRAME.sub("", compared(text[: 4 * _LONGEST]))) > 2 * _LONGEST:
+        return False
     c = compared(text)
     if c in PLACEHOLDERS:
         return True
@@ -264,21 +222,50 @@ def _refusal_automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for p in REFUSALS:
-        a.add_word(p, p)
+    for w in DECLINES["not"]:
+        a.add_word(w, len(w))
     a.make_automaton()
     return a
 
 
-def is_refusal(text: str) -> bool:
-    """A phrase of refusal and no final answer; what overlaps or directly follows a phrase is what it refuses."""
+_DECLINED = re.compile("|".join(map(re.escape, DECLINES["answer"] + DECLINES["give"])))
+_PATIENT = re.compile("|".join(rf"\b{w}" if w.isascii() else w for w in PATIENTS))
+_CLAUSE_END = re.compile(r"[。！？；!?;\n，,:：]|\.(?=\s|$)")
+_SENTENCE_END = re.compile(r"[。！？!?\n]|\.(?=\s|$)")
+
+
+def declining(text: str) -> list[tuple[int, int]]:
+    """Ranges of the clauses that decline."""
     low = text.lower().replace("’", "'")
     if len(low) != len(text):  # positions must agree
         low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text).replace("’", "'")
-    phrases = [(end + 1 - len(p), end + 1) for end, p in _refusal_automaton().iter(low)]
-    if not phrases:
-        return False
-    return all(any(a < m.end() and _REFUSED.fullmatch(low, b, max(b, m.start())) for a, b in phrases) for m in _GIVEN.finditer(text))
+    found: list[tuple[int, int]] = []
+    for last, n in _refusal_automaton().iter(low):
+        start = last + 1 - n
+        if found and start < found[-1][1]:
+            continue
+        # a clause in Han ends at any mark, one in letters at the end of its sentence
+        mark = _CLAUSE_END if not low[start].isascii() else _SENTENCE_END
+        m = mark.search(low, last + 1)
+        b = m.start() if m else len(low)
+        rest = low[last + 1 : b]
+        if not _DECLINED.search(rest):
+            continue
+        a = start
+        while a and not mark.match(low, a - 1):
+            a -= 1
+        if _PATIENT.search(low, a, start):
+            continue
+        clause = f" {low[a:b]} "
+        if any(w in clause for w in DECLINES["whom"]) or not low[start].isascii() and rest.startswith(("回答", "作答", "解答", "答复", "奉告")):
+            found.append((a, b))
+    return found
+
+
+def is_refusal(text: str) -> bool:
+    """A clause declines, and no final answer is given outside such clauses."""
+    clauses = declining(text)
+    return bool(clauses) and all(any(a <= m.start() < b for a, b in clauses) for m in _GIVEN.finditer(text))
 
 
 class PromptAutomaton:
@@ -360,10 +347,15 @@ class CopyTest:
 
     @staticmethod
     def gives(answer: str, spans: list[tuple[int, int]]) -> bool:
-        """Whether the answer's end has a final answer that is not the prompt's text. ``spans``: ranges of the compared answer that are."""
-        for m in _GIVEN.finditer(answer, max(0, len(answer) - 160)):
-            b, e = len(compared(answer[: m.start()])), len(compared(answer[: m.end()]))
-            if not any(x <= b and e <= y for x, y in spans):
+        """Whether the answer has a final answer that is not the prompt's text. ``spans``: ranges of the compared answer that are."""
+        done = place = k = 0
+        for m in _GIVEN.finditer(answer):
+            place += len(compared(answer[done : m.start()]))
+            done = m.start()
+            end = place + len(compared(m.group()))
+            while k < len(spans) and spans[k][1] < end:
+                k += 1
+            if k == len(spans) or spans[k][0] > place:
                 return True
         return False
 
@@ -396,50 +388,61 @@ def limits(outputs: DataFrame) -> dict[str, int]:
     return {r["run_name"]: r["n"] for r in found.groupBy("run_name").agg(F.max("n").alias("n")).collect()}
 
 
-def first_pass(rows: DataFrame, known: DataFrame, closing: frozenset[str], limit: dict[str, int], only_cut: bool = False) -> DataFrame:
-    """Defects that need no question; the language; the text where these do not settle the answer."""
-    shared = rows.sparkSession.sparkContext.broadcast((closing, limit))
+_FIRST = "origin string, rec_id string, pos int, id string, run string, state string, lang string, text string, form int, limit boolean, word bigint"
+
+
+def first_pass(rows: DataFrame, corpus: DataFrame, limit: dict[str, int], only_cut: bool = False) -> DataFrame:
+    """Defects that need no question, with the evidence of cuts; the language; the text where these do not settle the answer.
+
+    ``corpus``: texts of the vocabulary besides the answers.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        closing, limit = shared.value
+        limit = shared.value
         for b in batches:
-            at, state, lang, text, last, lone = [], [], [], [], [], []
+            at, state, lang, text, forms, full, words = [], [], [], [], [], [], []
             for k, (run, t) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())):
-                token = alone = None
-                if is_empty(t):
-                    s = "empty"
-                else:
-                    cut = ending(t, len(t) == limit.get(run))
-                    if not isinstance(cut, bool):  # as not cut, until the vocabulary tells
-                        (line, alone), cut = cut, False
-                        token, han = last_token(line)
-                        if not alone and (not token or han and token[-1] in closing):  # a rare pair whose last character closes answers
-                            token = None
-                    s = "truncated" if cut else None
-                    if only_cut and not cut and token is None:
-                        continue
-                    if not only_cut and not cut and is_refusal(t):
-                        s = "refusal"
-                if only_cut and s == "empty":
+                s, form = ("empty", WHOLE) if is_empty(t) else (None, ending(t))
+                if only_cut and form == WHOLE:
                     continue
+                if form != OPEN and s is None and is_refusal(t):
+                    s = "refusal"
+                    if only_cut:
+                        continue
                 at.append(k)
                 state.append(s)
-                lang.append(language(said(t)) if s is None else None)
-                text.append(t if s in (None, "truncated") or token is not None else None)  # only its prompt tells whether it is a copy
-                last.append(token)
-                lone.append(alone)
+                lang.append(language(said(t)) if s is None and not only_cut else None)
+                text.append(t if s is None else None)  # only its prompt tells whether it is a copy
+                forms.append(form)
+                full.append(form != WHOLE and len(t) == limit.get(run))
+                words.append(last_word(t.rstrip(INVISIBLE)) if form != WHOLE else "")
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(5)), pa.array(state, pa.string()), pa.array(lang, pa.string()), pa.array(text, pa.string()), pa.array(last, pa.string()), pa.array(lone, pa.bool_())], ["origin", "rec_id", "pos", "id", "run", "state", "lang", "text", "last", "alone"])
-
-    first = rows.select("origin", "rec_id", "pos", "id", "run", "text").mapInArrow(run, "origin string, rec_id string, pos int, id string, run string, state string, lang string, text string, last string, alone boolean")
-    # rows that ask for no word are spread by keys that no word has
-    asked = first.withColumn("token", F.coalesce("last", F.concat_ws("\n", F.lit(""), "origin", "rec_id", "pos")))
-    joined = asked.join(known, "token", "left")
-    cut = F.col("last").isNotNull() & F.when(F.col("alone"), ~F.coalesce("ends", F.lit(False))).otherwise(F.coalesce(~F.col("ends"), F.lit(False)))
-    found = joined.withColumn("state", F.when(cut, "truncated").otherwise(F.col("state"))).drop("token", "last", "alone", "ends")
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(i).take(take) for i in range(5)), pa.array(state, pa.string()), pa.array(lang, pa.string()), pa.array(text, pa.string()), pa.array(forms, pa.int32()), pa.array(full, pa.bool_()), pa.array(word_hashes(words), pa.int64())],
+                ["origin", "rec_id", "pos", "id", "run", "state", "lang", "text", "form", "limit", "word"],
+            )
+
+    first = materialise(rows.select("origin", "rec_id", "pos", "id", "run", "text").mapInArrow(run, _FIRST))
+    asked = first.where("word is not null")
+    known = looked_up(asked, rows.select("text").unionAll(corpus))
+    none = F.lit(False)
+    told = spread_join(asked, known, "word", "rec_id", how="left").unionByName(first.where("word is null").withColumns({"known": none, "ends": none, "node": none}))
+    word = F.coalesce(F.col("node") & ~F.col("known"), none)
+    sentence = (F.col("form") == OPEN) | (F.col("form") == ALONE) & ~F.coalesce("ends", none)
+    evidence = F.when(F.col("form") == WHOLE, None).when(word, "word").when(F.col("limit"), "length").when(sentence, "form")
+    cut = told.withColumn("evidence", F.when(F.col("state").isNull(), evidence)).withColumn("state", F.when(F.col("state").isNull() & F.col("evidence").isNotNull(), "truncated").otherwise(F.col("state")))
+    found = cut.select("origin", "rec_id", "pos", "id", "run", "state", "lang", "text", "evidence")
     return found.where("state = 'truncated'") if only_cut else found
 
 
+def reference_texts(samples: DataFrame) -> DataFrame:
+    """text: reference answers, options and questions; each ends a sentence."""
+    own = F.array("question", "gold")
+    all_ = F.concat(own, F.coalesce(F.map_values("options"), F.array().cast("array<string>")))
+    return samples.select(F.explode(all_).alias("text")).where("text is not null").select(F.concat(F.rtrim("text"), F.lit("。")).alias("text"))
+
+
 def questions(samples: DataFrame, with_language: bool = True) -> DataFrame:
     """id, source, question, options, question language: one row per id."""
 
@@ -456,17 +459,17 @@ def questions(samples: DataFrame, with_language: bool = True) -> DataFrame:
 
 
 def second_pass(first: DataFrame, asked: DataFrame) -> DataFrame:
-    """origin, rec_id, pos, run, source, defect of the defective answers."""
+    """origin, rec_id, pos, run, source, defect, evidence of the defective answers."""
     settled = F.col("state").isin("empty", "refusal")
-    joined = first.join(asked, "id", "left")
+    joined = spread_join(first, asked, "id", "rec_id", how="left")
     prompt: Column = F.when(F.col("text").isNotNull() & ~F.coalesce(settled, F.lit(False)), F.col("question"))
-    slim = joined.select("origin", "rec_id", "pos", "run", "source", "state", "lang", "question_lang", "text", prompt.alias("question"), F.when(prompt.isNotNull(), F.col("options")).alias("options"))
+    slim = joined.select("origin", "rec_id", "pos", "run", "source", "evidence", "state", "lang", "question_lang", "text", prompt.alias("question"), F.when(prompt.isNotNull(), F.col("options")).alias("options"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copied = CopyTest()
         for b in batches:
             at, defect = [], []
-            state, lang, qlang, text, question, options = (b.column(i).to_pylist() for i in range(5, 11))
+            state, lang, qlang, text, question, options = (b.column(i).to_pylist() for i in range(6, 12))
             for k, s in enumerate(state):
                 if question[k] and copied(question[k], [(o["key"], o["value"] or "") for o in options[k]] if options[k] else None, text[k]):
                     s = "copy"
@@ -475,34 +478,35 @@ def second_pass(first: DataFrame, asked: DataFrame) -> DataFrame:
                 if s:
                     at.append(k)
                     defect.append(s)
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(at, pa.int64())) for i in range(5)), pa.array(defect, pa.string())], ["origin", "rec_id", "pos", "run", "source", "defect"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(at, pa.int64())) for i in range(6)), pa.array(defect, pa.string())], ["origin", "rec_id", "pos", "run", "source", "evidence", "defect"])
 
-    found = slim.mapInArrow(run, "origin string, rec_id string, pos int, run string, source string, defect string")
+    found = slim.mapInArrow(run, "origin string, rec_id string, pos int, run string, source string, evidence string, defect string")
     return found.dropDuplicates(["origin", "rec_id", "pos"])
 
 
 def defects(outputs: DataFrame, dpo: DataFrame, samples: DataFrame) -> DataFrame:
-    """origin, rec_id, pos, run, source, defect: one row per defective answer."""
-    rows = answers(outputs, dpo)
-    return second_pass(first_pass(rows, *vocabulary(samples), limits(outputs)), questions(samples))
+    """origin, rec_id, pos, run, source, evidence (of cuts), defect: one row per defective answer."""
+    return second_pass(first_pass(answers(outputs, dpo), reference_texts(samples), limits(outputs)), questions(samples))
 
 
 def truncated(outputs: DataFrame, dpo: DataFrame, samples: DataFrame) -> DataFrame:
-    """origin, rec_id, pos, run, source: answers that end inside a sentence or word; copies are no cases.
+    """origin, rec_id, pos, run, source, evidence (word, length or form): answers that end inside a sentence or word; copies are no cases.
 
     Only answers without a finished end are joined with their questions.
     """
-    first = first_pass(answers(outputs, dpo), *vocabulary(samples), limits(outputs), only_cut=True)
+    first = first_pass(answers(outputs, dpo), reference_texts(samples), limits(outputs), only_cut=True)
     asked = questions(samples, with_language=False).withColumn("question_lang", F.lit(None).cast("string"))
     return second_pass(first, asked).where("defect = 'truncated'").drop("defect")
 
 
 def truncation_rates(outputs: DataFrame, dpo: DataFrame, samples: DataFrame) -> DataFrame:
-    """run (null: preference data), source, answers, truncated, rate."""
+    """run (null: preference data), source, answers, truncated, rate, and how many of them by word and by length."""
     rows = answers(outputs, dpo).select("origin", "rec_id", "pos", "id", "run").dropDuplicates(["origin", "rec_id", "pos"])
     asked = samples.where("id is not null").groupBy("id").agg(F.max("source").alias("source"))
-    all_ = rows.join(asked, "id", "left").groupBy("run", "source").agg(F.count(F.lit(1)).alias("answers"))
-    cut = truncated(outputs, dpo, samples).groupBy("run", "source").agg(F.count(F.lit(1)).alias("truncated"))
+    all_ = spread_join(rows, asked, "id", "rec_id", how="left").groupBy("run", "source").agg(F.count(F.lit(1)).alias("answers"))
+    by_run = truncated(outputs, dpo, samples).groupBy("run", "source")
+    cut = by_run.agg(F.count(F.lit(1)).alias("truncated"), F.count_if(F.col("evidence") == "word").alias("by_word"), F.count_if(F.col("evidence") == "length").alias("by_length"))
     same = all_["run"].eqNullSafe(cut["run"]) & all_["source"].eqNullSafe(cut["source"])
     n = F.coalesce(cut["truncated"], F.lit(0))
-    return all_.join(cut, same, "left").select(all_["run"], all_["source"], "answers", n.alias("truncated"), (n / F.col("answers")).alias("rate"))
+    counts = [F.coalesce(cut[c], F.lit(0)).alias(c) for c in ("by_word", "by_length")]
+    return all_.join(cut, same, "left").select(all_["run"], all_["source"], "answers", n.alias("truncated"), (n / F.col("answers")).alias("rate"), *counts)

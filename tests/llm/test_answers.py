@@ -2,7 +2,6 @@ from corpuloom.llm import answers as A
 
 ZH = "患者男，45岁，因胸痛、呼吸困难3天就诊，血压120/80mmHg，最可能的诊断是什么？"
 EN = "A 45-year-old man presents with chest pain and dyspnea for three days; which is the best diagnosis?"
-WORDS = A.Vocabulary({"syndrome": True, "fibrosis": True, "disease": False, "cochlear": False, "穿孔": True, "合征": True, "综合": False, "股骨": False, "骨头": False, "症": True})
 
 OUTPUTS = "out_id bigint, run_name string, set_name string, id string, output string, defect string, source string"
 DPO = "id string, solutions array<string>, pos int"
@@ -16,20 +15,73 @@ def test_empty():
         assert not A.is_empty(t), t
 
 
-def test_unfinished():
-    complete = [
+def test_endings():
+    whole = [
         "推理完成。", "It is done.", "推理。\n答案:C", "推理。\n**答案:D**", "推理。\n【答案】AB", "\\boxed{E}", "x\nThe answer is (B).", "I would choose AE.", "Answer: J", "答案是 D", "故选E。", "综上，正确答案为A。", "→ C",
-        "最终答案：弥漫性股骨头穿孔", "**Answer:** cochlear fibrosis", "**最终答案:胃穿孔**", "\\boxed{胃穿孔}", "C", "说完了？", "他说“好。”", "Final answer: x syndrome", "最终答案:全新词汇表", "",
+        "**最终答案:胃穿孔**", "\\boxed{胃穿孔}", "C", "说完了？", "他说“好。”", "", "完了。\n```",
     ]
-    cut = [
-        "推理到一半然后", "推理。\n1. 第一步", "推理。\n2.", "the patient with hemo", "推理。\n答案:", "推理。\n\\boxed{C", "推理。\n最终答案：弥漫性股骨头", "Final answer: x disease", "Final answer: coch", "血压12", "因为，", "推理。\n（见", "推理。 然�",
-        "最终答案:某综合",
+    open_ = ["推理到一半，然后", "推理。\n1. 第一步", "推理。\n2.", "x. the patient with hemo", "推理。\n答案:", "推理。\n\\boxed{C", "血压12，", "因为，", "推理。\n（见", "推理。 然�", "（" + "长" * 900, "推理。\n答案（" + "长" * 900]
+    final = ["**Answer:** cochlear fibrosis", "最终答案：弥漫性股骨头穿孔", "推理。\n最终答案：弥漫性股骨头", "Final answer: coch", "最终答案:某综合"]
+    for want, texts in ((A.WHOLE, whole), (A.OPEN, open_), (A.FINAL, final), (A.ALONE, ["胃穿孔", "血压正常因此头", "the patient with"])):
+        for t in texts:
+            assert A.ending(t) == want, t
+    assert A.ending("因此晕厥" * 30) == A.OPEN  # no short answer
+
+
+def test_vocabulary_against_brute_force(spark):
+    import random
+
+    from corpuloom.llm import vocabulary as V
+
+    random.seed(6)
+    signs = "abcＡ胃穿孔炎症 ，.1\n"
+    texts = ["".join(random.choices(signs, k=random.randint(0, 12))) for _ in range(300)] + [None, "", "终" * 5000]
+    known, ends, node = set(), set(), set()
+    for t in texts:
+        t = (t or "").rstrip(V.INVISIBLE).lower().replace("ａ", "a")
+        for i, c in enumerate(t):
+            for k in range(1, 20):
+                w, nxt = t[i : i + k], t[i + k : i + k + 1]
+                if len(w) < k:
+                    break
+                latin = all(x in "abc" for x in w) and (i == 0 or t[i - 1] not in "abc")
+                han = all(x in "胃穿孔炎症终" for x in w) and (k == 2 or k == 1 and (i == 0 or t[i - 1] not in "胃穿孔炎症终"))
+                if latin and nxt:
+                    (node if nxt in "abc" else known).add(w)
+                    if nxt in "，.\n":
+                        ends.add(w)
+                if han and nxt:
+                    more = nxt in "胃穿孔炎症终"
+                    if k == 2 and more:
+                        node.add(w)
+                    if nxt in "，.\n":
+                        known.add(w)
+                        ends.add(w)
+    asked = sorted({V.last_word(x) for x in {t[: random.randint(1, 12)].lower().replace("ａ", "a") for t in texts if t}} - {""})
+    hashes = dict(zip(V.word_hashes(asked), asked))
+    rows = V.looked_up(spark.createDataFrame([(h,) for h in (*hashes, None)], "word bigint"), spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    got = {hashes[r["word"]]: (r["known"], r["ends"], r["node"]) for r in rows if r["word"] in hashes}
+    for w in asked:
+        assert got.get(w, (False, False, False)) == (w in known, w in ends, w in node), w
+    assert V.last_word("见 hemoｒrha") == "hemoｒrha" and V.last_word("12胃穿孔") == "穿孔" and V.last_word("12%") == "" == V.last_word("")
+
+
+def test_held_out_refusals():
+    """Phrasings that the tables do not have."""
+    refused = [
+        "很抱歉，我无法解答您的这个提问。", "作为助手，我不适合就用药问题给出判断。", "这道题我没法帮你做出选择。", "恕难奉告。", "根据规定，我无权对病情提供意见。", "请谅解，我不愿就此题作答。", "我不方便对该病例发表评论或给出建议。", "对不起，这超出我能回答的范畴。", "我拒绝就这个问题发表意见。", "抱歉，这类请求我不能处理。",
+        "我不应代替医生为您做诊断。", "此问题暂不予答复。", "先说明一点。我不可以为您推荐治疗方案或提供剂量建议。", "考虑到风险，我不会就此给出答案。", "我不做医疗判断，请勿要求我给出诊断。", "很遗憾，本助手不宜讨论该话题中的用药问题。", "恕我谢绝这一提问。", "这个问题我爱莫能助，也不能给您建议。",
+        "I'm afraid I can't assist with that.", "I do not provide answers to medical exams, and I won't give one here.", "Sorry, I am not in a position to advise on this.", "It would be inappropriate for me to diagnose this patient.", "I have to pass on this question.", "My policy prevents me from recommending a drug.", "I'd prefer not to comment on this case.", "I will not be answering this.", "As an assistant I cannot respond to this prompt.",
+        "I don't give medical advice.", "I refuse to select an option.", "This request is beyond what I can help with.", "I am not comfortable suggesting a diagnosis.", "I'm not authorized to offer recommendations.", "Regrettably, it is impossible for me to pick one.", "I'm not going to engage with this question.",
+    ]
+    kept = [
+        "患者不能回答问题，意识模糊。考虑脑卒中。", "CT不能提供诊断依据，应做MRI。", "不能据此排除肺炎，难以解释。", "该药无法抑制炎症，不宜选用。", "病人拒绝进一步检查，家属要求出院。", "The patient was unable to answer questions. Stroke is likely.", "This finding cannot exclude sepsis.", "He refused help at home and was admitted.", "血钾不会升高，故不支持。", "超声难以判断积液的性质。",
+        "The drug will not help here because renal function is poor.", "不能仅凭此项建议手术。", "Imaging is not able to provide a diagnosis in such cases.", "我没有行医资格。\n## 答案\n胃穿孔", "我不能给出答案以外的建议。\n答案:C",
     ]
-    for t in complete:
-        assert not A.unfinished(t, WORDS), t
-    for t in cut:
-        assert A.unfinished(t, WORDS), t
-    assert A.unfinished("x。\n最终答案:胃穿孔", WORDS, at_limit=True) and not A.unfinished("x。", WORDS, at_limit=True)
+    found = sum(map(A.is_refusal, refused))
+    wrong = [t for t in kept if A.is_refusal(t)]
+    assert found / len(refused) >= 0.9, [t for t in refused if not A.is_refusal(t)]
+    assert len(wrong) <= 1, wrong
 
 
 def test_refusals():
@@ -49,6 +101,8 @@ def test_refusals_before_further_text():
 def test_languages():
     cases = {"患者的血压正常": "zh", "The patient is well and has no pain": "en", "患者は21歳で、しびれが続いています": "ja", "El paciente de 81 años refiere fatiga desde hace dos días": "es", "Больной жалуется на зуд": "ru", "환자는 열이 있다 그리고 아프다": "ko", "Le patient est dans une chambre avec des douleurs": "fr", "12": None, "": None}
     assert {t: A.language(t) for t in cases} == cases
+    other = {"nl": "De patiënt heeft koorts en wordt met een infuus behandeld, maar het is niet ernstig", "pl": "Pacjent nie ma gorączki, ale jest osłabiony oraz blady i się poci", "tr": "Hasta için bir tedavi ve daha çok istirahat ile bu durum düzelir", "sv": "Patienten har feber och det är inte allvarligt för att den av sig själv går över"}
+    assert {k: A.language(t) for k, t in other.items()} == {k: k for k in other}
     assert A.language("Ｔｈｉｓ ｉｓ ａ ｐａｔｉｅｎｔ") == "en" and A.language("顶叶属") is None and A.language("顶叶属", 3) == "zh"
 
 
