@@ -50,27 +50,37 @@ class Sketch:
 def sketch(hashes: DataFrame, expected: int, most_log2: int = MOST_LOG2) -> Broadcast:
     """Broadcast :class:`Sketch` of the column ``h`` (times ``n`` where there is such a column).
 
-    Counters are summed before the shuffle, segments are built on the executors, and the driver puts
-    a number of segments together that is fixed by the size of the sketch.
+    Counters are summed by batch before the one shuffle, segments are built on the executors, and the driver
+    puts a number of segments together that is fixed by the size of the sketch.
     """
     log2 = min(max(math.ceil(math.log2(max(expected, 1) * SLOTS_PER_HASH)), _SEGMENT), most_log2)
-    times = F.sum("n") if "n" in hashes.columns else F.count(F.lit(1))
-    slots = hashes.withColumn("slot", F.shiftrightunsigned("h", 64 - log2)).groupBy("slot").agg(F.least(times, F.lit(255)).cast("int").alias("c"))
+    shift, within = np.uint64(64 - log2), (1 << _SEGMENT) - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = (b.column(0).to_numpy().view(np.uint64) >> shift).astype(np.int64)
+            if b.num_columns > 1:
+                u, same = np.unique(slot, return_inverse=True)
+                c = np.bincount(same, weights=b.column(1).to_numpy(), minlength=len(u))
+            else:
+                u, c = np.unique(slot, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((u >> _SEGMENT).astype(np.int32)), pa.array((u & within).astype(np.int32)), pa.array(np.minimum(c, 255).astype(np.int32))], ["seg", "slot", "c"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
         for b in batches:
-            slot, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            seg = slot >> _SEGMENT
+            seg, slot, c = (b.column(i).to_numpy() for i in range(3))
             order = np.argsort(seg, kind="stable")
             cuts = np.flatnonzero(np.diff(seg[order])) + 1
             for at in np.split(order, cuts) if len(order) else []:
-                part = own.setdefault(int(seg[at[0]]), np.zeros(1 << _SEGMENT, np.uint8))
-                part[slot[at] & ((1 << _SEGMENT) - 1)] = c[at]
+                part = own.setdefault(int(seg[at[0]]), np.zeros(1 << _SEGMENT, np.uint16))
+                u, same = np.unique(slot[at], return_inverse=True)
+                part[u] = np.minimum(part[u] + np.bincount(same, weights=c[at], minlength=len(u)), 255)
         for s, part in own.items():
-            yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int64()), "counts": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "counts": pa.array([zlib.compress(part.astype(np.uint8).tobytes(), 1)], pa.binary())})
 
+    slots = hashes.select("h", *(["n"] if "n" in hashes.columns else [])).mapInArrow(count, "seg int, slot int, c int")
     parts = min(16, max(1, (1 << log2 - _SEGMENT) // 16))
-    made = slots.repartition(parts, F.shiftright("slot", _SEGMENT)).mapInArrow(run, "seg bigint, counts binary")
+    made = slots.repartition(parts, "seg").mapInArrow(build, "seg int, counts binary")
     segments = {seg: bytes(counts) for seg, counts in made.collect()}  # their number is fixed by log2
     return hashes.sparkSession.sparkContext.broadcast(Sketch(segments, log2))
