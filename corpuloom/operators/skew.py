@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuloom.runtime import materialise
+
 BLOCK = 20_000
 
 
@@ -17,7 +19,8 @@ def hot_keys(rows: DataFrame, on: str, block: int | None = None, count: str | No
     """``on``, blocks of the keys with more than ``block`` rows (``BLOCK``); ``count``: a column with the number of rows of each key, if known."""
     block = block or BLOCK
     counted = rows.select(on, F.col(count).alias("__n")) if count else rows.groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
-    return counted.where(F.col("__n") > block).select(on, F.ceil(F.col("__n") / F.lit(block)).cast("int").alias("__blocks"))
+    # written, so that its size is known when a join with it is planned
+    return materialise(counted.where(F.col("__n") > block).select(on, F.ceil(F.col("__n") / F.lit(block)).cast("int").alias("__blocks")))
 
 
 def spread_join(many: DataFrame, few: DataFrame, on: str, by: str, hot: DataFrame | None = None, block: int | None = None, how: str = "inner") -> DataFrame:

@@ -86,11 +86,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes a core up to which a table is small; and a bound of what is shuffled to give every core some.
+SMALL, SMALL_ALL = 32 << 20, 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work where a table comes in fewer files than there are cores.
+    """Give every core work where a small table comes in fewer partitions than there are cores.
 
-    Looks at the files that a frame reads, which plans nothing and runs nothing; frames of many
-    files, and frames that are no files, keep their partitions.
+    Goes by size and partitions as planned, which lists and runs nothing more; only the plan changes.
+    ``df`` is a scan with filters and projections.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    plan = df._jdf.queryExecution()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < min(cores * SMALL, SMALL_ALL) and plan.toRdd().getNumPartitions() < cores else df
