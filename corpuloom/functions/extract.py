@@ -40,6 +40,17 @@ def extract_choice(output: Column) -> Column:
     return filled(sorted_letters(F.upper(F.regexp_replace(letters, "[^A-Ja-j]", ""))))
 
 
+#: The first declaration as a reader's page shows it; full-width colons and commas count here.
+FIRST_LETTERS = r"(?:最终答案|正确答案|答案)\s*(?:是|为|[:：])?\s*([A-J](?:\s*[、,，和\s]\s*[A-J])*)(?![A-Za-z0-9])"
+FIRST_ENGLISH = r"(?i)(?:the answer is|answer\s*:)\s*\(?([A-J])\)?"
+
+
+def first_declared(conclusion: Column) -> Column:
+    """Letters of the first declaration, as written; for display only."""
+    letters = F.regexp_replace(F.regexp_extract(conclusion, f"(?U){FIRST_LETTERS}", 1), r"(?U)[\s、,，和]", "")
+    return F.coalesce(filled(letters), filled(F.upper(F.regexp_extract(conclusion, FIRST_ENGLISH, 1))))
+
+
 def extract_text(output: Column) -> Column:
     """Last boxed text, else the last answer line; null where none is declared."""
     tail = _tail(output)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpuloom.functions.extract import keep_ends, split_thinking
 from corpuloom.functions.stats import share, wilson
 
+#: Order in which buckets are shown.
+SHOWN = ("regression", "dpo_fix", "mixed", "all_wrong", "all_correct")
 BUCKETS = ("regression", "dpo_fix", "all_correct", "all_wrong", "mixed")
 
 
@@ -87,11 +89,44 @@ def answer_view(output: Column, most: int = 7000) -> list[Column]:
     ]
 
 
-def replay(bucketed: DataFrame, samples: DataFrame, answers: DataFrame, most: int = 7000) -> DataFrame:
-    """One row per chosen question: bucket, question, options, gold, and a map of run to its answer as shown."""
+def with_verdicts(outputs: DataFrame, scored: DataFrame) -> DataFrame:
+    """The answers (id, run, output) with correct and method of ``scored`` (id, run), null where there is none; verdicts without answer are dropped."""
+    return outputs.join(scored.select("id", "run", "correct", "method"), ["id", "run"], "left")
+
+
+def replay(bucketed: DataFrame, samples: DataFrame, answers: DataFrame, most: int = 7000, labels: dict[str, str] | None = None) -> DataFrame:
+    """One row per chosen question: id, set_name (if given), bucket, label, question, options, gold, meta, and a map of run to its answer as shown."""
     shown = answers.select("id", "run", F.struct(*answer_view(F.col("output"), most), "correct", "method").alias("answer"))
-    per = shown.join(bucketed.select("id"), "id", "left_semi").groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("run", "answer")), lambda a, b: F.when(a["run"] < b["run"], -1).when(a["run"] > b["run"], 1).otherwise(0))).alias("answers"))
-    return bucketed.select("id", "bucket").join(samples.dropDuplicates(["id"]).select("id", "source", "question", "options", "gold"), "id").join(per, "id", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("run", "answer")), lambda a, b: F.when(a["run"] < b["run"], -1).when(a["run"] > b["run"], 1).otherwise(0))
+    per = shown.join(bucketed.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.map_from_entries(in_order).alias("answers"))
+    label = F.col("bucket")
+    for name, text in (labels or {}).items():
+        label = F.when(F.col("bucket") == name, text).otherwise(label)
+    extra = [c for c in ("set_name",) if c in bucketed.columns]
+    meta = [c for c in ("meta",) if c in samples.columns]
+    asked = samples.dropDuplicates(["id"]).select("id", "source", "question", "options", "gold", *meta)
+    return bucketed.select("id", *extra, "bucket", label.alias("label")).join(asked, "id").join(per, "id", "left")
+
+
+def filtered(questions: DataFrame, set_name: str = "all", bucket_name: str = "all") -> DataFrame:
+    """The questions of a set and a bucket; ``all`` is any."""
+    for column, value in (("set_name", set_name), ("bucket", bucket_name)):
+        if value != "all":
+            questions = questions.where(F.col(column) == value)
+    return questions
+
+
+def buckets_present(questions: DataFrame) -> DataFrame:
+    """place, bucket of the buckets that occur, in the order in which they are shown."""
+    place = F.array_position(F.array(*map(F.lit, SHOWN)), F.col("bucket")) - 1
+    return questions.select("bucket").distinct().select(place.alias("place"), "bucket").where("place >= 0")
+
+
+def within_base(tallies: DataFrame, base: str, run: str = "run", on: str = "set_name") -> DataFrame:
+    """As :func:`against_baseline` the other way: flat where a run's accuracy lies in the baseline's interval."""
+    b = tallies.where(F.col(run) == base).select(on, F.col("acc").alias("base_acc"), F.col("ci_low").alias("base_low"), F.col("ci_high").alias("base_high"))
+    kind = F.when(F.col("acc").between(F.col("base_low"), F.col("base_high")), "flat").when(F.col("acc") > F.col("base_acc"), "up").otherwise("down")
+    return tallies.join(b, on, "left").select(run, on, F.when((F.col(run) != base) & F.col("base_acc").isNotNull(), kind).alias("delta_class"))
 
 
 def markdown_table(tallies: DataFrame, base: str | None = None) -> str:

@@ -5,8 +5,12 @@ Verdicts have three values: true, false, and null for an abstention.
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuloom.functions.extract import extract
 from corpuloom.functions.stats import share
@@ -76,14 +80,29 @@ def exploded(solutions: DataFrame) -> DataFrame:
     return once.select("id", F.posexplode("solutions").alias("i", "solution")).where("solution is not null")
 
 
-def classified(solutions: DataFrame, samples: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """id, i, solution, cls. With ``labels`` (key = id#i, cls) the class is looked up, and drop where there is none."""
-    each = exploded(solutions)
+def classified(solutions: DataFrame, samples: DataFrame, labels: DataFrame | None = None, arbitrated: DataFrame | None = None) -> DataFrame:
+    """id, i, solution, cls.
+
+    With ``labels`` (key = id#i, cls) the class is looked up, and drop where there is none. Else the rules tell, and
+    ``arbitrated`` (key, correct), the words of a judge, decides on declared answers that they leave open; an answer that the judge has
+    not been asked about, or abstains on, is dropped. Without a judge such answers are wrong.
+    """
+    each = exploded(solutions).withColumn("key", F.concat("id", F.lit("#"), F.col("i").cast("string")))
     if labels is not None:
-        keyed = each.withColumn("key", F.concat("id", F.lit("#"), F.col("i").cast("string")))
-        return keyed.join(labels.select("key", "cls"), "key", "left").select("id", "i", "solution", F.coalesce("cls", F.lit("drop")).alias("cls"))
+        return each.join(labels.select("key", "cls"), "key", "left").select("id", "i", "solution", F.coalesce("cls", F.lit("drop")).alias("cls"))
     rows = each.join(samples.select("id", "gold", "options").dropDuplicates(["id"]), "id")
-    return rows.select("id", "i", "solution", solution_class(F.col("gold"), F.col("options"), declared(F.col("solution"), F.col("options"))).alias("cls"))
+    word = None
+    if arbitrated is not None:
+        rows, word = rows.join(arbitrated.select("key", F.col("correct").alias("__word")), "key", "left"), F.col("__word")
+    return rows.select("id", "i", "solution", solution_class(F.col("gold"), F.col("options"), declared(F.col("solution"), F.col("options")), word).alias("cls"))
+
+
+def to_arbitrate(solutions: DataFrame, samples: DataFrame) -> DataFrame:
+    """key, id, solution of the declared answers that the rules leave open: what a judge is to be asked."""
+    rows = exploded(solutions).join(samples.select("id", "gold", "options").dropDuplicates(["id"]), "id")
+    read = rows.withColumn("__d", declared(F.col("solution"), F.col("options")))
+    left = read.where(F.col("__d").isNotNull() & rule_verdict(F.col("gold"), F.col("options"), F.col("__d")).isNull())
+    return left.select(F.concat("id", F.lit("#"), F.col("i").cast("string")).alias("key"), "id", "solution")
 
 
 def pairs(classes: DataFrame, k: int = 2, seed: int = SEED) -> DataFrame:
@@ -102,6 +121,33 @@ def pairs(classes: DataFrame, k: int = 2, seed: int = SEED) -> DataFrame:
     )
 
 
+def pairs_compat(classes: DataFrame, k: int = 2, seed: int = SEED) -> DataFrame:
+    """As :func:`pairs`, with wrong solutions drawn by Python's generator, seeded per question by the CRC-32 of its id.
+
+    Enough wrong solutions are drawn without replacement, fewer with it. A question's solutions are one row's array, so
+    its lists are as short as that; only numbers leave the JVM.
+    """
+    entry = F.struct(F.length("solution").alias("n"), "i", "solution")
+    lists = classes.where("cls in ('correct', 'wrong')").groupBy("id").agg(
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("cls") == "correct", entry))), 1, k).alias("right"),
+        F.array_sort(F.collect_list(F.when(F.col("cls") == "wrong", F.struct("i", "solution")))).alias("wrong"),
+    )
+    draw = F.pandas_udf(_numbers, T.ArrayType(T.IntegerType()))
+    drawn = draw(F.crc32(F.col("id").cast("binary")), F.size("right"), F.size("wrong"), F.lit(seed))
+    both = lists.where((F.size("right") > 0) & (F.size("wrong") > 0)).withColumn("drawn", drawn)
+    each = both.select("id", F.posexplode("right").alias("rank", "r"), "wrong", "drawn")
+    w = F.get("wrong", F.get("drawn", F.col("rank")))
+    return each.select("id", (F.col("rank") + 1).alias("rank"), F.col("r.i").alias("chosen_i"), w["i"].alias("rejected_i"), F.col("r.solution").alias("chosen"), w["solution"].alias("rejected"))
+
+
+def _numbers(crc: pd.Series, right: pd.Series, wrong: pd.Series, seed: pd.Series) -> pd.Series:
+    out = []
+    for c, k, n, s in zip(crc, right, wrong, seed):
+        rng = random.Random(s + c % 10000)
+        out.append(rng.sample(range(n), k) if n >= k else [rng.choice(range(n)) for _ in range(k)])
+    return pd.Series(out)
+
+
 def pair_records(made: DataFrame, samples: DataFrame, prompt: str = "{}") -> DataFrame:
     """id, rank, messages, rejected_response. ``prompt``: a template with one place for the rendered question."""
     before, _, after = prompt.partition("{}")

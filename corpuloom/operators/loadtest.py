@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuloom.functions.stats import time_per_token
+from corpuloom.operators.ranks import at_ranks
 
 
 def requests_at(concurrency: Column) -> Column:
@@ -16,13 +17,9 @@ def requests_at(concurrency: Column) -> Column:
 def percentiles(requests: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
     """``by`` and a column per share: the element int(n * share) of the sorted values, from 0, the last one at most.
 
-    Sorted by a range shuffle within each group: ranks come from a window on the group, so a level
-    of any size costs a sort and no list of its values.
+    Equal values are counted together, and the sorted values are divided by a range shuffle: no task holds a level.
     """
-    order = W.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
-    ranked = requests.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"), F.row_number().over(order).alias("__i"), F.count(F.lit(1)).over(W.partitionBy(*by)).alias("__n"))
-    at = {name: F.least(F.col("__n"), F.floor(F.col("__n") * F.lit(q)) + 1) for name, q in shares.items()}
-    return ranked.groupBy(*by).agg(*(F.max(F.when(F.col("__i") == a, F.col("__v"))).alias(name) for name, a in at.items()))
+    return at_ranks(requests, value, {name: F.floor(F.col("__all") * F.lit(q)) for name, q in shares.items()}, by)
 
 
 def levels(requests: DataFrame, by: list[str], wall: str = "wall_s") -> DataFrame:
@@ -48,3 +45,11 @@ def gain(summary: DataFrame, before: str, after: str, series: str = "label") ->
     """peak_before, peak_after and the gain in per cent between two series."""
     p = peaks(summary, series).agg(F.max(F.when(F.col(series) == before, F.col("peak"))).alias("peak_before"), F.max(F.when(F.col(series) == after, F.col("peak"))).alias("peak_after"))
     return p.withColumn("gain", F.when(F.col("peak_before") > 0, (F.col("peak_after") / F.col("peak_before") - 1) * 100))
+
+
+def bench_record(summary: DataFrame, label: str, model: str, gpu: str, max_tokens: int) -> DataFrame:
+    """One row (``record``): the JSON of a load test with its levels by concurrency; a test has few levels."""
+    level = ("concurrency", "requests", "failed", "ttft_p50", "ttft_p95", "tpot_p50", "tpot_p95", "output_tok_s", "req_per_s", "wall_s")
+    levels = F.array_sort(F.collect_list(F.struct(*level))).alias("levels")
+    named = summary.agg(levels).select(F.lit(label).alias("label"), F.lit(model).alias("model"), F.lit(gpu).alias("gpu"), F.lit(max_tokens).cast("bigint").alias("max_tokens"), "levels")
+    return named.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuloom.operators.ranks import by_hash
+
 SEED = 42
 
 
@@ -23,14 +25,9 @@ def hash_order(key: Column, seed: int = SEED) -> Column:
 def sample(df: DataFrame, key: str, n: int, seed: int = SEED, offset: int = 0, by: list[str] | None = None) -> DataFrame:
     """``n`` rows from position ``offset`` of the hash order (per stratum ``by``), with their ``pos`` from 0.
 
-    Without strata the smallest offset + n keys are found by a distributed top-k, so no window ever
-    sees all rows.
+    The hash order is divided into ranges, of which only those that hold the positions are sorted, each by itself.
     """
-    ranked = df.withColumn("__h", hash_order(F.col(key), seed))
-    if not by:
-        ranked = ranked.orderBy("__h", key).limit(offset + n)
-    order = W.partitionBy(*(by or [F.lit(1)])).orderBy("__h", key)
-    return ranked.withColumn("pos", F.row_number().over(order) - 1).where((F.col("pos") >= offset) & (F.col("pos") < offset + n)).drop("__h")
+    return by_hash(df, hash_order(F.col(key), seed), key, offset, offset + n, by)
 
 
 def compat_sample(df: DataFrame, ord_col: str, n: int, k: int, seed: int = SEED, rng: random.Random | None = None) -> DataFrame:
@@ -56,6 +53,12 @@ def ratio_mix(main: DataFrame, general: DataFrame, key: str, ratio: float, seed:
     return both.withColumn("shuffle_key", hash_order(F.concat(F.col("origin"), F.lit(":"), F.col(key)), seed))
 
 
+def composition(mixed: DataFrame) -> DataFrame:
+    """origin, rows, share of a mix."""
+    every = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # rows: one per origin
+    return mixed.groupBy("origin").agg(F.count(F.lit(1)).alias("rows")).withColumn("share", F.col("rows") / F.sum("rows").over(every))
+
+
 def round_robin(prompts: DataFrame, n: int, ord_col: str = "ord") -> DataFrame:
     """Request numbers 0 to n - 1 (``i``) with prompts in turn; ``prompts`` has contiguous ordinals."""
     count = prompts.count()
@@ -66,3 +69,10 @@ def round_robin(prompts: DataFrame, n: int, ord_col: str = "ord") -> DataFrame:
 def parse_sizes(text: str) -> dict[str, int]:
     """``name=n,name=n`` to a dictionary."""
     return {name.strip(): int(n) for name, _, n in (part.partition("=") for part in text.split(",") if part.strip())}
+
+
+def head(df: DataFrame, n: int, order: str = "ord", **chosen: str) -> DataFrame:
+    """The rows with the first ``n`` numbers of a contiguous order, of those that have the given values."""
+    for name, value in chosen.items():
+        df = df.where(F.col(name) == value)
+    return df.where(F.col(order) < n)

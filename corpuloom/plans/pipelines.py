@@ -51,9 +51,9 @@ def build_finetuning(samples: DataFrame, pool: DataFrame, conversations: DataFra
     return sampling.ratio_mix(main, general, "key", ratio)
 
 
-def build_preferences(samples: DataFrame, solutions: DataFrame, labels: DataFrame | None = None, prompt: str = "{}") -> DataFrame:
-    """Preference records of sampled solutions; an empty result fails the gate."""
-    made = materialise(grading.pair_records(grading.pairs(materialise(grading.classified(solutions, samples, labels))), samples, prompt))
+def build_preferences(samples: DataFrame, solutions: DataFrame, labels: DataFrame | None = None, prompt: str = "{}", arbitrated: DataFrame | None = None) -> DataFrame:
+    """Preference records of sampled solutions, classified by a cache of labels, or by rules and the words of a judge; an empty result fails the gate."""
+    made = materialise(grading.pair_records(grading.pairs(materialise(grading.classified(solutions, samples, labels, arbitrated))), samples, prompt))
     gate(made.limit(1).count() == 1, "no preference pair came out")
     return made
 
@@ -88,10 +88,10 @@ def export_replay(samples: DataFrame, answers: DataFrame, base: str, tuned: list
     wide = evaluation.common_questions(answers, runs, "set_name")
     kind = evaluation.bucket(F.col(f"`{base}`"), [F.col(f"`{t}`") for t in tuned], F.col(f"`{dpo}`") if dpo else None)
     chosen = evaluation.first_of_bucket(wide.select("set_name", "id", kind.alias("bucket")), per_bucket, "set_name").select("id", "bucket", "set_name")
-    shown = evaluation.replay(chosen.select("id", "bucket"), samples, answers.where(F.col("run").isin(runs)), most)
+    shown = evaluation.replay(chosen, samples, answers.where(F.col("run").isin(runs)), most)
     tallies = evaluation.tally(answers, "run", "set_name")
     percent = [F.round(F.col(c) * 100, 1).alias(c) for c in ("acc", "ci_low", "ci_high", "abstain_rate")]
-    return tallies.select("run", "set_name", "n", *percent), shown.select("id", "bucket", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("question_json"))
+    return tallies.select("run", "set_name", "n", *percent), shown.select("id", "set_name", "bucket", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("question_json"))
 
 
 def load_report(summary: DataFrame, before: str, after: str) -> str:

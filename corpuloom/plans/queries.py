@@ -43,9 +43,7 @@ def query(sql: str | None = None) -> Callable:
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     """Samples with their split, each id once."""
     registry = table(spark, d, "source_registry").select("source", "split")
-    # an explicit number of partitions keeps small inputs on all cores; the grouping by id reuses it
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return table(spark, d, "samples").where("id is not null").repartition(parts, "id").dropDuplicates(["id"]).join(registry, "source")
+    return spread(table(spark, d, "samples").where("id is not null")).dropDuplicates(["id"]).join(registry, "source")
 
 
 def _train_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -207,9 +205,9 @@ def union_of_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text""")
 def content_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """First document of each content and how many there are; contents meet by hash before they are compared."""
-    docs = table(spark, d, "documents").where("text is not null")
-    return docs.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+    """First document of each content and how many there are; contents meet by 128 bits of hash, so that no text is shuffled."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    return docs.groupBy("h", "g").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
 
 
 @query(f"""WITH {_scan_sql()}, pool AS (SELECT id FROM train WHERE id NOT IN (SELECT train_id FROM hits WHERE level = 'contaminated'))

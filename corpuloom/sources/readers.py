@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuloom.runtime import materialise
+
 SAMPLE = T.StructType(
     [
         T.StructField("id", T.StringType()), T.StructField("source", T.StringType()), T.StructField("question", T.StringType()), T.StructField("gold", T.StringType()),
@@ -23,9 +25,17 @@ SAMPLE = T.StructType(
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """ord, line: the lines of text files in file order; blank lines count and stay."""
-    rdd = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return spark.createDataFrame(rdd, "ord bigint, line string")
+    """ord, line: the lines of text files in file order; blank lines count and stay.
+
+    Stays in the JVM: every split of a file knows its first row number, and a table of splits with their numbers of
+    lines gives where each begins.
+    """
+    split = ["__file", "__start"]
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
+    sizes = lines.groupBy(*split).agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    order = W.partitionBy(F.lit(1)).orderBy(*split)  # rows: one per split
+    begins = sizes.select(*split, "__first", (F.sum("__n").over(order) - F.col("__n")).alias("__before"))
+    return lines.join(begins, split).select((F.col("__before") + F.col("__id") - F.col("__first")).alias("ord"), "line")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, skip_blank: bool = True) -> DataFrame:
@@ -72,6 +82,22 @@ def append_checkpoint(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
+def rewrite(df: DataFrame, path: str) -> None:
+    """Replace JSON lines by ``df``, which may have been read from there: it is written to the shared folder before."""
+    materialise(df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def load_scored(spark: SparkSession, path: str) -> DataFrame:
+    """id, correct, method of scored lines; a verdict that is null or missing is an abstention."""
+    return read_jsonl(spark, path, "id string, correct boolean, method string").drop("ord")
+
+
+def load_human_labels(spark: SparkSession, path: str) -> DataFrame:
+    """The sample's fields, output and human_correct of labelled lines."""
+    nested = T.StructType([T.StructField("sample", SAMPLE), T.StructField("output", T.StringType()), T.StructField("human_correct", T.BooleanType())])
+    return read_jsonl(spark, path, nested).select("sample.*", "output", "human_correct")
+
+
 def write_report(path: str, text: str) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(text, encoding="utf-8")
