@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from corpuloom.functions.windows import compared
 from corpuloom.llm.vocabulary import INVISIBLE, last_word, looked_up, word_hashes
-from corpuloom.operators.skew import spread_join
+from corpuloom.operators.skew import hot_keys, spread_join
 from corpuloom.runtime import materialise, spread
 
 # ---- fixed word lists -------------------------------------------------------------------------
@@ -108,8 +108,8 @@ _STOPS, _BEHIND = "。．.!！?？…｡", "'\"”’」』）)]】*_`| \t\r\n\v
 _LIST_MARK = re.compile(r"\s*(?:\d{1,3}|[A-Za-z])\.$")
 _CLAUSE = re.compile(r"[，,：:；;。！？!?]|\.\s")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_HAN, _KANA, _LATIN = re.compile("[\u3400-\u9fff\uf900-\ufaff]"), re.compile("[\u3040-\u30ff\u31f0-\u31ff]"), re.compile("[A-Za-z\u00c0-\u024f]")
-_SCRIPTS = {"ru": re.compile(r"[Ѐ-ӿ]"), "ko": re.compile(r"[가-힯ᄀ-ᇿ]"), "ar": re.compile(r"[؀-ۿ]"), "el": re.compile(r"[Ͱ-Ͽ]"), "th": re.compile(r"[฀-๿]"), "he": re.compile(r"[֐-׿]"), "hi": re.compile(r"[ऀ-ॿ]")}
+_HAN, _KANA, _LATIN = re.compile("[\u3400-\u9fff\uf900-\ufaff]+"), re.compile("[\u3040-\u30ff\u31f0-\u31ff\uff66-\uff9f]+"), re.compile("[A-Za-z\u00c0-\u024f\uff21-\uff3a\uff41-\uff5a]+")
+_SCRIPTS = {"ru": re.compile(r"[Ѐ-ӿ]+"), "ko": re.compile(r"[가-힯ᄀ-ᇿ]+"), "ar": re.compile(r"[؀-ۿ]+"), "el": re.compile(r"[Ͱ-Ͽ]+"), "th": re.compile(r"[฀-๿]+"), "he": re.compile(r"[֐-׿]+"), "hi": re.compile(r"[ऀ-ॿ]+")}
 _STOP: dict[str, list[str]] = {}
 for _lang, _words in STOPWORDS.items():
     for _w in _words.split():
@@ -121,26 +121,30 @@ _LEAD = re.compile(r"^\W*(?:解析|解答|思考|回答|[Ee]xplanation|[Aa]nswer
 # ---- languages --------------------------------------------------------------------------------
 
 
+def _count(runs: re.Pattern, text: str) -> int:
+    return sum(map(len, runs.findall(text)))
+
+
 def language(text: str, least: int = 12) -> str | None:
     """Language by script and, in Latin letters, stopword votes; null where too little is said.
 
     A Han character weighs as much as three letters of an alphabet; ``least`` is the weight needed.
     """
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    weight = {"ja": 0, "zh": 3 * len(_HAN.findall(text)), "latin": len(_LATIN.findall(text))}
+    weight = {"ja": 0, "zh": 3 * _count(_HAN, text), "latin": _count(_LATIN, text)}
     rest = len(text) - weight["zh"] // 3 - weight["latin"]
     if rest > 0 and not text.isascii():
-        kana = len(_KANA.findall(text))
+        kana = _count(_KANA, text)
         if kana * 9 > weight["zh"] // 3 and kana > 3:  # Japanese has a good part of kana
             weight["ja"], weight["zh"] = 3 * kana + weight["zh"], 0
         for name, script in _SCRIPTS.items():
-            weight[name] = len(script.findall(text))
+            weight[name] = _count(script, text)
     best = max(weight, key=weight.get)
     if weight[best] < least:
         return None
     if best != "latin":
         return best
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
     votes = dict.fromkeys(STOPWORDS, 0)
     for w in _WORD.findall(text.lower()):
         for lang in _STOP.get(w, ()):
@@ -331,7 +335,7 @@ class CopyTest:
     """Whether answers give back their question; keeps the last prompt's automaton."""
 
     def __init__(self):
-        self.key, self.automaton, self.question = None, None, ""
+        self.key, self.automaton, self.question, self.prompt, self.own = None, None, "", "", {}
 
     def __call__(self, question: str, options: list[tuple[str, str]] | None, answer: str) -> bool:
         key = (question, tuple(options or ()))
@@ -340,8 +344,14 @@ class CopyTest:
         if not a or not q or len(a) < COPY_PROMPT * len(q):
             return False
         if key != self.key:
-            self.key, self.question = key, q
-            self.automaton = PromptAutomaton(compared("\n".join([question, *(f"{k}. {v}" for k, v in sorted(options or ()))])))
+            self.key, self.question, self.automaton = key, q, None
+            self.prompt = compared("\n".join([question, *(f"{k}. {v}" for k, v in sorted(options or ()))]))
+            self.own = dict.fromkeys(map(ord, set(self.prompt)))
+        # what is covered by matches consists of the prompt's characters: most answers have too many others
+        if len(a.translate(self.own)) > (1 - COPY_SHARE) * len(a) + 1e-9:
+            return False
+        if self.automaton is None:
+            self.automaton = PromptAutomaton(self.prompt)
         spans = self.automaton.spans(a, min(COPY_MATCH, len(q)))
         return sum(e - b for b, e in spans) >= COPY_SHARE * len(a) and not self.gives(answer, spans)
 
@@ -391,8 +401,8 @@ def limits(outputs: DataFrame) -> dict[str, int]:
 _FIRST = "origin string, rec_id string, pos int, id string, run string, state string, lang string, text string, form int, limit boolean, word bigint"
 
 
-def first_pass(rows: DataFrame, corpus: DataFrame, limit: dict[str, int], only_cut: bool = False) -> DataFrame:
-    """Defects that need no question, with the evidence of cuts; the language; the text where these do not settle the answer.
+def first_pass(rows: DataFrame, corpus: DataFrame, limit: dict[str, int], only_cut: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Defects that need no question, with the evidence of cuts; the language; the text where these do not settle the answer. Besides, the hot items.
 
     ``corpus``: texts of the vocabulary besides the answers.
     """
@@ -425,7 +435,7 @@ def first_pass(rows: DataFrame, corpus: DataFrame, limit: dict[str, int], only_c
 
     first = materialise(rows.select("origin", "rec_id", "pos", "id", "run", "text").mapInArrow(run, _FIRST))
     asked = first.where("word is not null")
-    known = looked_up(asked, rows.select("text").unionAll(corpus))
+    known = materialise(looked_up(asked, rows.select("text").unionAll(corpus)))
     none = F.lit(False)
     told = spread_join(asked, known, "word", "rec_id", how="left").unionByName(first.where("word is null").withColumns({"known": none, "ends": none, "node": none}))
     word = F.coalesce(F.col("node") & ~F.col("known"), none)
@@ -433,7 +443,7 @@ def first_pass(rows: DataFrame, corpus: DataFrame, limit: dict[str, int], only_c
     evidence = F.when(F.col("form") == WHOLE, None).when(word, "word").when(F.col("limit"), "length").when(sentence, "form")
     cut = told.withColumn("evidence", F.when(F.col("state").isNull(), evidence)).withColumn("state", F.when(F.col("state").isNull() & F.col("evidence").isNotNull(), "truncated").otherwise(F.col("state")))
     found = cut.select("origin", "rec_id", "pos", "id", "run", "state", "lang", "text", "evidence")
-    return found.where("state = 'truncated'") if only_cut else found
+    return (found.where("state = 'truncated'") if only_cut else found), hot_keys(first, "id")
 
 
 def reference_texts(samples: DataFrame) -> DataFrame:
@@ -458,10 +468,10 @@ def questions(samples: DataFrame, with_language: bool = True) -> DataFrame:
     return q.dropDuplicates(["id"])
 
 
-def second_pass(first: DataFrame, asked: DataFrame) -> DataFrame:
+def second_pass(first: DataFrame, hot: DataFrame, asked: DataFrame) -> DataFrame:
     """origin, rec_id, pos, run, source, defect, evidence of the defective answers."""
     settled = F.col("state").isin("empty", "refusal")
-    joined = spread_join(first, asked, "id", "rec_id", how="left")
+    joined = spread_join(first, asked, "id", "rec_id", hot, how="left")
     prompt: Column = F.when(F.col("text").isNotNull() & ~F.coalesce(settled, F.lit(False)), F.col("question"))
     slim = joined.select("origin", "rec_id", "pos", "run", "source", "evidence", "state", "lang", "question_lang", "text", prompt.alias("question"), F.when(prompt.isNotNull(), F.col("options")).alias("options"))
 
@@ -486,7 +496,7 @@ def second_pass(first: DataFrame, asked: DataFrame) -> DataFrame:
 
 def defects(outputs: DataFrame, dpo: DataFrame, samples: DataFrame) -> DataFrame:
     """origin, rec_id, pos, run, source, evidence (of cuts), defect: one row per defective answer."""
-    return second_pass(first_pass(answers(outputs, dpo), reference_texts(samples), limits(outputs)), questions(samples))
+    return second_pass(*first_pass(answers(outputs, dpo), reference_texts(samples), limits(outputs)), questions(samples))
 
 
 def truncated(outputs: DataFrame, dpo: DataFrame, samples: DataFrame) -> DataFrame:
@@ -494,9 +504,9 @@ def truncated(outputs: DataFrame, dpo: DataFrame, samples: DataFrame) -> DataFra
 
     Only answers without a finished end are joined with their questions.
     """
-    first = first_pass(answers(outputs, dpo), reference_texts(samples), limits(outputs), only_cut=True)
+    first, hot = first_pass(answers(outputs, dpo), reference_texts(samples), limits(outputs), only_cut=True)
     asked = questions(samples, with_language=False).withColumn("question_lang", F.lit(None).cast("string"))
-    return second_pass(first, asked).where("defect = 'truncated'").drop("defect")
+    return second_pass(first, hot, asked).where("defect = 'truncated'").drop("defect")
 
 
 def truncation_rates(outputs: DataFrame, dpo: DataFrame, samples: DataFrame) -> DataFrame:
