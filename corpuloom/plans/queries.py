@@ -15,9 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuloom.functions.stats import nice_max, short_count
+from corpuloom.functions.extract import first_declared
+from corpuloom.functions.stats import nice_max, short_count, verdict_name
 from corpuloom.functions.text import norm_text
 from corpuloom.operators import decontaminate, evaluation, grading, loadtest, multivalue, sampling
+from corpuloom.operators.ranks import numbered
 from corpuloom.runtime import materialise, spread, table
 from corpuloom.sources import adapters
 from corpuloom.sources.readers import last_wins
@@ -93,6 +95,13 @@ def decontam_hits_n5(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.scan(train, items, n=5, suspicious=0.01)
 
 
+@query(f"WITH {_scan_sql()} SELECT item_id, train_id, ratio, row_number() OVER (ORDER BY ratio DESC, item_id, train_id) - 1 AS pos FROM hits")
+def decontam_hits_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every hit in the order of all."""
+    train, items = _train_items(spark, d)
+    return decontaminate.ordered(decontaminate.scan(train, items)).select("item_id", "train_id", "ratio", F.col("pos").cast("bigint").alias("pos"))
+
+
 @query(f"""WITH {_scan_sql()}, short AS (SELECT id FROM items WHERE length(lower(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))) < 10)
 SELECT eval_set, count(*) AS size, coalesce((SELECT count(*) FROM hits h JOIN items j ON j.id = h.item_id WHERE j.eval_set = i.eval_set AND level = 'contaminated'), 0) AS contaminated,
 coalesce((SELECT count(*) FROM hits h JOIN items j ON j.id = h.item_id WHERE j.eval_set = i.eval_set AND level = 'suspicious'), 0) AS suspicious,
@@ -182,6 +191,51 @@ def first_dropped(spark: SparkSession, d: str) -> DataFrame:
     return adapters.first_dropped(_cmexam(spark, d)[1]).select("ord", "detail")
 
 
+_CTE_RAW = f"s AS (SELECT DISTINCT ON (id) * FROM samples WHERE id IS NOT NULL ORDER BY id), x AS (SELECT *, regexp_replace(question, '{_STRIP}', '', 'g') AS q, regexp_replace(gold, '{_STRIP}', '', 'g') AS g, regexp_replace(cot, '{_STRIP}', '', 'g') AS c FROM s)"
+
+
+def _open_query(name: str, source: str, with_cot: bool, adapter: Callable, fields: dict[str, str]) -> None:
+    """An adapter of open questions over raw rows made of all samples; rows without question or answer go to quarantine."""
+    cot = "c AS cot" if with_cot else "CAST(NULL AS VARCHAR) AS cot"
+    kept = f"q IS NOT NULL AND g IS NOT NULL{' ' if with_cot else ''}"
+    sql = f"WITH {_CTE_RAW} SELECT '{source}-' || id AS id, q AS question, g AS gold, {cot}, false AS dropped FROM x WHERE {kept} UNION ALL SELECT id, NULL, NULL, NULL, true FROM x WHERE NOT ({kept})"
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        raw = table(spark, d, "samples").where("id is not null").dropDuplicates(["id"]).select(F.col("id").alias("ord"), *(F.col(c).alias(f) for c, f in fields.items()))
+        good, bad = adapter(raw, source)
+        none = F.lit(None).cast("string")
+        return good.select("id", "question", "gold", "cot", F.lit(False).alias("dropped")).unionByName(bad.select(F.col("ord").alias("id"), none.alias("question"), none.alias("gold"), none.alias("cot"), F.lit(True).alias("dropped")))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_open_query("adapt_verifiable", "med-o1-verifiable", False, adapters.verifiable, {"question": "Open-ended Verifiable Question", "gold": "Ground-True Answer"})
+_open_query("adapt_reasoning", "med-o1-sft-zh", True, adapters.reasoning, {"question": "Question", "gold": "Response", "cot": "Complex_CoT"})
+_open_query("adapt_distilled", "med-r1-zh", True, adapters.distilled, {"question": "question", "gold": "response (content)", "cot": "reasoning (reasoning_content)"})
+
+
+def _map_query(name: str, source: str, blank: bool, adapter: Callable, fields: dict[str, str], meta: dict[str, str]) -> None:
+    """An adapter of choice questions with an option map over raw rows made of all samples."""
+    keys = "map_keys(options)" if blank else f"list_transform(list_filter(map_entries(options), lambda e: regexp_replace(coalesce(e.value, ''), '{_STRIP}', '', 'g') <> ''), lambda e: e.key)"
+    gold = f"array_to_string(list_sort(list_distinct(regexp_extract_all(upper(g), '(?s).'))), '')"
+    names = list(meta)
+    sql = f"""WITH {_CTE_RAW}, y AS (SELECT *, coalesce({gold}, '') AS letters, {keys} AS keys FROM x), z AS (SELECT *, q IS NOT NULL AND letters <> '' AND keys IS NOT NULL AND len(list_filter(regexp_extract_all(letters, '(?s).'), lambda c: NOT list_contains(keys, c))) = 0 AS ok FROM y)
+SELECT '{source}-' || id AS id, q AS question, letters AS gold, CAST(len(keys) AS INT) AS n_options, coalesce({meta[names[0]]}, '') AS {names[0]}, coalesce({meta[names[1]]}, '') AS {names[1]} FROM z WHERE coalesce(ok, false)"""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        raw = table(spark, d, "samples").where("id is not null").dropDuplicates(["id"]).select(F.col("id").alias("ord"), *(F.col(c).alias(f) for c, f in fields.items()), *(F.col(c).alias(n) for n, c in meta.items()))
+        good, _ = adapter(raw, source)
+        return good.select("id", "question", "gold", F.size("options").alias("n_options"), *(F.col("meta")[n].alias(n) for n in names))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_map_query("adapt_cmb", "cmb-val", False, adapters.cmb, {"question": "question", "options": "option", "gold": "answer"}, {"exam_subject": "source", "question_type": "cot"})
+_map_query("adapt_medxpertqa", "medxpertqa", True, adapters.medxpertqa, {"question": "question", "options": "options", "gold": "label"}, {"medical_task": "source", "body_system": "cot"})
+
+
 @query(f"""WITH {_CTE_SAMPLES} SELECT id, question || coalesce(list_reduce(list_transform(list_sort(map_entries(options)), lambda e: chr(10) || e.key || '. ' || coalesce(e.value, '')), lambda a, b: a || b), '') AS rendered FROM s
 WHERE options IS NOT NULL AND cardinality(options) > 0 AND question IS NOT NULL UNION ALL SELECT id, question FROM s WHERE (options IS NULL OR cardinality(options) = 0) OR question IS NULL""")
 def render_question(spark: SparkSession, d: str) -> DataFrame:
@@ -241,6 +295,23 @@ def sft_mix(spark: SparkSession, d: str) -> DataFrame:
     return sampling.ratio_mix(main, general, "key", 0.15)
 
 
+@query(f"""WITH {_CTE_SAMPLES}, main AS (SELECT id FROM s WHERE coalesce(cot, '') <> ''), n AS (SELECT count(*) AS m, CAST(floor(count(*) * 0.15::DOUBLE / (1 - 0.15::DOUBLE)) AS BIGINT) AS g FROM main)
+SELECT 'main' AS origin, m AS rows, m / (m + g) AS share FROM n UNION ALL SELECT 'general', g, g / (m + g) FROM n WHERE g > 0""")
+def mix_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and shares of the parts of a mix."""
+    return sampling.composition(sft_mix(spark, d))
+
+
+@query("""WITH once AS (SELECT DISTINCT source, question, gold, cot FROM samples WHERE source IS NOT NULL) SELECT source, a.n AS rows, b.n AS kept, a.n - b.n AS duplicates FROM (SELECT source, count(*) AS n FROM samples GROUP BY source) a JOIN (SELECT source, count(*) AS n FROM once GROUP BY source) b USING (source)""")
+def duplicate_counter(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, different contents and rows that repeat one, per source; contents meet by 128 bits of hash."""
+    c = ["question", "gold", "cot"]
+    marks = [m for x in c for m in (F.col(x).isNull(), F.coalesce(x, F.lit("")))]  # nulls are contents of their own
+    rows = table(spark, d, "samples").where("source is not null").select("source", F.xxhash64(*marks).alias("h"), F.xxhash64(F.lit(1), *marks).alias("g"))
+    per = rows.groupBy("source", "h", "g").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("kept"))
+    return per.withColumn("duplicates", F.col("rows") - F.col("kept"))
+
+
 @query(f"WITH {_scan_sql()} SELECT source, count(*) AS n FROM s WHERE split = 'train' AND coalesce(cot, '') <> '' AND id NOT IN (SELECT train_id FROM hits WHERE level = 'contaminated') GROUP BY source")
 def pool_semi_join(spark: SparkSession, d: str) -> DataFrame:
     train, items = _train_items(spark, d)
@@ -266,6 +337,27 @@ def calibration_strata(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("id", "stratum")
 
 
+@query(f"WITH {_CTE_SAMPLES} SELECT id, pos FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM s WHERE split = 'test') WHERE pos < 500")
+def set_limit(spark: SparkSession, d: str) -> DataFrame:
+    """The first 500 items of one evaluation split in the order of ids."""
+    items = numbered(_samples(spark, d).where("split = 'test'").select("id"), [F.col("id")])
+    return sampling.head(items, 500, "pos").select("id", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query()
+def key_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """CRC-32 of every id and the seed of its draws; the SQL dialect has no such function."""
+    ids = table(spark, d, "samples").where("id is not null").select("id").distinct()
+    crc = F.crc32(F.col("id").cast("binary"))
+    return ids.select("id", crc.alias("crc"), (crc % 10000 + 42).alias("seed"))
+
+
+@query()
+def first_declarations(spark: SparkSession, d: str) -> DataFrame:
+    """The first declaration of every answer, for display; its pattern looks ahead, which the SQL dialect cannot."""
+    return table(spark, d, "outputs").select("out_id", first_declared(F.col("output")).alias("shown")).distinct()
+
+
 # ---- answers and verdicts ---------------------------------------------------------------------
 
 
@@ -276,7 +368,7 @@ def grade_outputs(spark: SparkSession, d: str) -> DataFrame:
     answers = spread(table(spark, d, "outputs")).dropDuplicates(["out_id"]).join(asked, "id")
     declared = grading.declared(F.col("output"), F.col("options"))
     return answers.select("out_id", "run_name", "gold", "options", declared.alias("declaration")).select(
-        "out_id", "run_name", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct")
+        "out_id", "run_name", "gold", "options", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct")
     )
 
 
@@ -292,14 +384,43 @@ def extract_choice_grade(spark: SparkSession, d: str) -> DataFrame:
     return read.select("id", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct"))
 
 
-@query(f"""WITH {_CTE_SAMPLES}, w AS (SELECT id, regexp_replace(gold, '{_STRIP}', '', 'g') AS g, ascii(right(id, 1)) % 3 AS form FROM s WHERE options IS NULL AND length(gold) < 60 AND NOT regexp_matches(gold, '[{{}}\\n。.」】]'))
-SELECT id, CASE WHEN form < 2 THEN g END AS declaration, CASE WHEN form < 2 AND lower(regexp_replace(g, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) <> '' THEN true END AS correct FROM w""")
-def extract_text_grade(spark: SparkSession, d: str) -> DataFrame:
+_NORM = "lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
+
+
+def _declared_sql(text: str) -> str:
+    """The declared text of an answer to an open question; its patterns look around nowhere, so the SQL dialect has them, too."""
+    space = _STRIP.split("]+|")[0][1:] + "]"
+    tail = rf"regexp_replace(right({text}, 2000), '\\(?:text|mathrm|mathbf)\{{([^{{}}]*)\}}', '\1', 'g')"
+    boxed = rf"list_last(regexp_extract_all({tail}, '\\boxed\{{([^{{}}]+)\}}', 1))"
+    line = rf"list_last(regexp_extract_all({tail}, '(?:最终答案|答案){space}*(?:是|为|:){space}*([^\n]+)', 1))"
+    return rf"nullif(regexp_replace(coalesce(regexp_replace({boxed}, '{_STRIP}', '', 'g'), regexp_replace({line}, '{_STRIP}', '', 'g')), '[。.」】]+$', ''), '')"
+
+
+def _open_verdict_sql(gold: str, declared: str) -> str:
+    """True where the declared text is the key, as a whole or in its first clause; else nothing."""
+    clause = f"regexp_extract({declared}, '^[^,。;!?]*', 0)"
+    return f"CASE WHEN {declared} IS NOT NULL AND {_NORM.format(gold)} <> '' AND ({_NORM.format(declared)} = {_NORM.format(gold)} OR {_NORM.format(clause)} = {_NORM.format(gold)}) THEN true END"
+
+
+_WRITTEN = "CASE ascii(right(id, 1)) % 3 WHEN 0 THEN '最终答案: ' || gold || '。' WHEN 1 THEN '答案:x' || chr(10) || '\\boxed{' || gold || '}' ELSE 'so ' || gold END"
+
+
+@query(f"""WITH {_CTE_SAMPLES}, w AS (SELECT id, gold, {_WRITTEN} AS output FROM s WHERE options IS NULL AND gold IS NOT NULL), r AS (SELECT *, {_declared_sql('output')} AS declaration FROM w)
+SELECT id, output, declaration, {_open_verdict_sql('gold', 'declaration')} AS correct FROM r""")
+def extract_text_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of all open questions, written in known forms: what is read back, and the verdict."""
     form = F.ascii(F.right("id", F.lit(1))) % 3
     text = F.when(form == 0, F.concat(F.lit("最终答案: "), F.col("gold"), F.lit("。"))).when(form == 1, F.concat(F.lit("答案:x\n\\boxed{"), F.col("gold"), F.lit("}"))).otherwise(F.concat(F.lit("so "), F.col("gold")))
-    rows = _samples(spark, d).where(r"options is null and length(gold) < 60 and not gold rlike '[{}\\n。.」】]'").select("id", "gold", "options", text.alias("output"))
+    rows = _samples(spark, d).where("options is null and gold is not null").select("id", "gold", "options", text.alias("output"))
     read = rows.withColumn("declaration", grading.declared(F.col("output"), F.col("options")))
-    return read.select("id", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct"))
+    return read.select("id", "output", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct"))
+
+
+@query(f"""WITH {_CTE_SAMPLES}, o AS (SELECT DISTINCT out_id, id, run_name, output FROM outputs), w AS (SELECT out_id, run_name, gold, {_declared_sql('output')} AS declaration FROM o JOIN s USING (id) WHERE options IS NULL)
+SELECT out_id, run_name, declaration, {_open_verdict_sql('gold', 'declaration')} AS correct FROM w""")
+def grade_open_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Rule verdict on every answer to an open question, as the runs gave it."""
+    return grade_outputs(spark, d).where("options is null").select("out_id", "run_name", "declaration", "correct")
 
 
 @query()
@@ -312,14 +433,20 @@ def extract_choice_whole(spark: SparkSession, d: str) -> DataFrame:
     return read.select("id", "output", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct"))
 
 
-@query()
-def extract_text_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As extract_text_grade, over all keys of open questions."""
+@query(f"""WITH {_CTE_SAMPLES}, w AS (SELECT *, CASE WHEN length(id) % 5 = 4 THEN NULL WHEN options IS NULL THEN {_WRITTEN} ELSE 'x ' || chr(92) || 'boxed{{' || left(gold, 1) || '}}' END AS output FROM s WHERE gold IS NOT NULL),
+r AS (SELECT *, CASE WHEN options IS NULL THEN {_declared_sql('output')} END AS text FROM w),
+v AS (SELECT *, CASE WHEN options IS NULL THEN {_open_verdict_sql('gold', 'text')} WHEN output IS NOT NULL AND gold <> '' THEN left(gold, 1) = gold END AS rule, length(question) % 3 <> 0 AS asked, CASE WHEN length(question) % 3 = 1 THEN length(question) % 2 = 0 END AS word FROM r)
+SELECT id, CASE WHEN length(id) % 5 = 4 THEN NULL ELSE coalesce(rule, CASE WHEN asked THEN word END) END AS correct, CASE WHEN length(id) % 5 = 4 THEN 'missing' WHEN rule IS NOT NULL THEN 'rule' WHEN asked THEN 'llm' ELSE 'abstain' END AS method FROM v""")
+def grade_with_judge(spark: SparkSession, d: str) -> DataFrame:
+    """Keys written as answers, a fifth of them missing: verdicts of the rules, and of a table of a judge's words where they abstain."""
+    rows = _samples(spark, d).where("gold is not null")
     form = F.ascii(F.right("id", F.lit(1))) % 3
-    text = F.when(form == 0, F.concat(F.lit("最终答案: "), F.col("gold"), F.lit("。"))).when(form == 1, F.concat(F.lit("答案:x\n\\boxed{"), F.col("gold"), F.lit("}"))).otherwise(F.concat(F.lit("so "), F.col("gold")))
-    rows = _samples(spark, d).where("options is null and gold is not null").select("id", "gold", "options", text.alias("output"))
-    read = rows.withColumn("declaration", grading.declared(F.col("output"), F.col("options")))
-    return read.select("id", "output", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct"))
+    open_ = F.when(form == 0, F.concat(F.lit("最终答案: "), F.col("gold"), F.lit("。"))).when(form == 1, F.concat(F.lit("答案:x\n\\boxed{"), F.col("gold"), F.lit("}"))).otherwise(F.concat(F.lit("so "), F.col("gold")))
+    text = F.when(F.col("options").isNull(), open_).otherwise(F.concat(F.lit("x \\boxed{"), F.left("gold", F.lit(1)), F.lit("}")))
+    outputs = rows.where(F.length("id") % 5 != 4).select("id", text.alias("output"))
+    n = F.length("question")
+    words = rows.where(n % 3 != 0).select("id", F.when(n % 3 == 1, n % 2 == 0).alias("correct"))
+    return grading.grade(rows, outputs, words).select("id", "correct", "method")
 
 
 def _graded(spark: SparkSession, d: str) -> DataFrame:
@@ -337,6 +464,11 @@ wilson AS (SELECT run, set_name, n, correct, abstained, acc, abstain_rate, great
 least(1.0::DOUBLE, (p + (1.96::DOUBLE * 1.96::DOUBLE) / (2.0::DOUBLE * m)) / (1.0::DOUBLE + (1.96::DOUBLE * 1.96::DOUBLE) / m) + 1.96::DOUBLE * sqrt(p * (1.0::DOUBLE - p) / m + (1.96::DOUBLE * 1.96::DOUBLE) / (4.0::DOUBLE * m * m)) / (1.0::DOUBLE + (1.96::DOUBLE * 1.96::DOUBLE) / m)) AS ci_high FROM rates)"""
 
 
+@query(f"WITH {_CTE_GRADED} SELECT run, id, CASE WHEN correct IS NULL THEN 'abstain' WHEN correct THEN 'correct' ELSE 'wrong' END AS verdict FROM graded")
+def verdict_names(spark: SparkSession, d: str) -> DataFrame:
+    return _graded(spark, d).select("run", "id", verdict_name(F.col("correct")).alias("verdict"))
+
+
 @query(f"WITH {_CTE_GRADED} SELECT * FROM wilson")
 def run_tally_wilson(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.tally(_graded(spark, d), "run", "set_name")
@@ -383,13 +515,72 @@ def common_ids_buckets(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.first_of_bucket(_bucketed(spark, d), 8, "set_name").select("set_name", "bucket", "id", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query()
-def replay_payload(spark: SparkSession, d: str) -> DataFrame:
-    chosen = evaluation.first_of_bucket(_bucketed(spark, d), 8, "set_name").select("id", "bucket").distinct()
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts of two thirds of the answers: the others have not been scored yet."""
+    return _graded(spark, d).where(F.length("id") % 3 != 0).select("id", "run", "correct", F.lit("rule").alias("method"))
+
+
+_NEWEST = "newest AS (SELECT id, run_name AS run, max_by(coalesce(output, chr(0)), out_id) AS o FROM outputs WHERE id IS NOT NULL GROUP BY id, run_name), answers AS (SELECT n.id, n.run, nullif(o, chr(0)) AS output, CASE WHEN length(n.id) % 3 <> 0 THEN g.correct END AS correct, CASE WHEN length(n.id) % 3 <> 0 THEN 'rule' END AS method FROM newest n JOIN graded g ON g.id = n.id AND g.run = n.run)"
+
+
+def _newest(spark: SparkSession, d: str) -> DataFrame:
+    """id, run, output: the last answer of each run and item."""
     rows = table(spark, d, "outputs").where("id is not null").select("out_id", "id", F.col("run_name").alias("run"), "output")
-    newest = rows.groupBy("run", "id").agg(F.max(F.struct("out_id", "output")).alias("m")).select("run", "id", F.col("m.output").alias("output"))
-    answers = newest.join(_graded(spark, d).select("id", "run", "correct"), ["id", "run"]).withColumn("method", F.lit("rule"))
-    return evaluation.replay(chosen, _samples(spark, d), answers)
+    return rows.groupBy("run", "id").agg(F.max(F.struct("out_id", "output")).alias("m")).select("run", "id", F.col("m.output").alias("output"))
+
+
+@query(f"WITH {_CTE_GRADED}, {_NEWEST} SELECT id, run, length(output) AS chars, correct, method FROM answers")
+def outputs_left_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with their verdicts; those without one stay."""
+    return evaluation.with_verdicts(_newest(spark, d), _scored(spark, d)).select("id", "run", F.length("output").alias("chars"), "correct", "method")
+
+
+LABELS = {"regression": "worse after tuning", "dpo_fix": "mended by preferences", "all_correct": "all right", "all_wrong": "all wrong", "mixed": "mixed"}
+_LABEL_SQL = "CASE bucket " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " END"
+_CTE_CHOSEN = "chosen AS (SELECT set_name, id, bucket FROM (SELECT *, row_number() OVER (PARTITION BY set_name, bucket ORDER BY id) AS pos FROM bucketed) WHERE pos <= 8)"
+_SPLIT_SQL = f"""CASE WHEN contains(output, '</think>') THEN regexp_replace(regexp_replace(regexp_extract(output, '(?s)\\A(.*)</think>(.*)\\z', 1), '\\A<think>', ''), '{{strip}}', '', 'g') WHEN output IS NOT NULL THEN '' END AS thinking,
+CASE WHEN contains(output, '</think>') THEN regexp_replace(regexp_extract(output, '(?s)\\A(.*)</think>(.*)\\z', 2), '{{strip}}', '', 'g') ELSE regexp_replace(output, '{{strip}}', '', 'g') END AS conclusion""".replace("{strip}", _STRIP)
+
+
+def _chosen(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.first_of_bucket(_bucketed(spark, d), 8, "set_name").select("set_name", "id", "bucket")
+
+
+@query(f"""WITH {_CTE_SAMPLES}, {_CTE_BUCKETS}, {_NEWEST}, {_CTE_CHOSEN}, parts AS (SELECT *, {_SPLIT_SQL} FROM answers)
+SELECT c.set_name, c.id, bucket, {_LABEL_SQL} AS label, s.source, s.question, s.gold, cardinality(s.options) AS n_options, cardinality(s.meta) AS n_meta, run, correct, method, left(thinking, 7000) AS thinking, length(thinking) > 7000 AS thinking_cut,
+CASE WHEN length(conclusion) > 7000 THEN left(conclusion, 3500) || chr(10) || chr(10) || '……（中段省略）……' || chr(10) || chr(10) || right(conclusion, 3500) ELSE conclusion END AS conclusion, length(thinking) AS thinking_chars, length(conclusion) AS conclusion_chars
+FROM chosen c JOIN s ON s.id = c.id LEFT JOIN parts p ON p.id = c.id""")
+def replay_payload(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen questions with the answers of all runs as shown, one row per answer."""
+    answers = evaluation.with_verdicts(_newest(spark, d), _scored(spark, d))
+    shown = evaluation.replay(_chosen(spark, d), _samples(spark, d), answers, labels=LABELS)
+    each = shown.select("set_name", "id", "bucket", "label", "source", "question", "gold", F.size("options").cast("bigint").alias("k"), F.size("meta").cast("bigint").alias("m"), F.explode_outer("answers").alias("run", "a"))
+    sizes = [F.when(F.col(c) >= 0, F.col(c)).alias(n) for c, n in (("k", "n_options"), ("m", "n_meta"))]  # null maps have the size -1
+    parts = ["correct", "method", "thinking", "thinking_cut", "conclusion", "thinking_chars", "conclusion_chars"]
+    return each.select("set_name", "id", "bucket", "label", "source", "question", "gold", *sizes, "run", *(F.col(f"a.{p}") for p in parts))
+
+
+@query(f"WITH {_CTE_BUCKETS}, {_CTE_CHOSEN} SELECT set_name, id, bucket FROM chosen WHERE set_name = 'cmexam' AND bucket = 'mixed'")
+def replay_filter(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.filtered(_chosen(spark, d), "cmexam", "mixed")
+
+
+@query(f"WITH {_CTE_BUCKETS}, {_CTE_CHOSEN} SELECT CAST(list_position(['regression', 'dpo_fix', 'mixed', 'all_wrong', 'all_correct'], bucket) - 1 AS BIGINT) AS place, bucket FROM (SELECT DISTINCT bucket FROM chosen)")
+def buckets_shown(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.buckets_present(_chosen(spark, d)).select(F.col("place").cast("bigint").alias("place"), "bucket")
+
+
+@query(f"""WITH {_CTE_GRADED} SELECT w.run, w.set_name, CASE WHEN w.run = 'base' OR b.acc IS NULL THEN NULL WHEN w.acc BETWEEN b.ci_low AND b.ci_high THEN 'flat' WHEN w.acc > b.acc THEN 'up' ELSE 'down' END AS delta_class
+FROM wilson w LEFT JOIN wilson b ON b.set_name = w.set_name AND b.run = 'base'""")
+def within_base_interval(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.within_base(evaluation.tally(_graded(spark, d), "run", "set_name"), "base")
+
+
+@query(f"WITH {_CTE_GRADED} SELECT run, set_name, n, round(acc * 100, 1) AS acc, round(ci_low * 100, 1) AS ci_low, round(ci_high * 100, 1) AS ci_high, round(abstain_rate * 100, 1) AS abstain_rate FROM wilson")
+def summary_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Tallies in per cent with one digit, as a summary shows them."""
+    t = evaluation.tally(_graded(spark, d), "run", "set_name")
+    return t.select("run", "set_name", "n", *(F.round(F.col(c) * 100, 1).alias(c) for c in ("acc", "ci_low", "ci_high", "abstain_rate")))
 
 
 @query(f"""SELECT out_id, thinking_chars, conclusion, conclusion_chars FROM (SELECT DISTINCT out_id, length(t) AS thinking_chars, length(c) AS conclusion_chars,
@@ -409,14 +600,15 @@ def calibrate_agreement(spark: SparkSession, d: str) -> DataFrame:
     return grading.calibration(rows.select((F.col("out_id") % 3 == 0).alias("human_correct"), F.when(F.col("out_id") % 7 != 0, (F.col("out_id") % 5).isin(0, 1, 2)).alias("correct")))
 
 
+_PAIRS_SQL = """r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(solution), i) AS rank FROM c WHERE cls = 'correct') WHERE rank <= 2),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5('42:' || id || '#' || i), i) AS place FROM c WHERE cls = 'wrong') WHERE place <= 2),
+k AS (SELECT id, count(*) AS wrongs FROM w GROUP BY id)"""
 _CTE_SOLUTIONS = """
 sol AS (SELECT id, i - 1 AS i, solutions[i] AS solution FROM (SELECT DISTINCT ON (id) id, solutions FROM dpo_samples WHERE id IS NOT NULL), generate_series(1, len(solutions)) AS g(i) WHERE solutions[i] IS NOT NULL)"""
 
 
 @query(f"""WITH {_CTE_SOLUTIONS}, c AS (SELECT *, CASE length(solution) % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'wrong' ELSE 'drop' END AS cls FROM sol),
-r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(solution), i) AS rank FROM c WHERE cls = 'correct') WHERE rank <= 2),
-w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5('42:' || id || '#' || i), i) AS place FROM c WHERE cls = 'wrong') WHERE place <= 2),
-k AS (SELECT id, count(*) AS wrongs FROM w GROUP BY id)
+{_PAIRS_SQL}
 SELECT r.id, r.rank, CAST(r.i AS INT) AS chosen_i, CAST(w.i AS INT) AS rejected_i, r.solution AS chosen, w.solution AS rejected FROM r JOIN k USING (id) JOIN w ON w.id = r.id AND w.place = (r.rank - 1) % wrongs + 1""")
 def dpo_pairs(spark: SparkSession, d: str) -> DataFrame:
     each = grading.exploded(table(spark, d, "dpo_samples"))
@@ -426,12 +618,36 @@ def dpo_pairs(spark: SparkSession, d: str) -> DataFrame:
     return made.select("id", F.col("rank").cast("bigint").alias("rank"), "chosen_i", "rejected_i", "chosen", "rejected")
 
 
-@query()
+_CTE_ARBITRATED = f"""{_CTE_SAMPLES}, {_CTE_SOLUTIONS},
+read AS (SELECT sol.*, gold, {_declared_sql('solution')} AS declaration FROM sol JOIN s USING (id)),
+c AS (SELECT id, i, solution, CASE WHEN {_open_verdict_sql('gold', 'declaration')} THEN 'correct' WHEN declaration IS NULL THEN 'drop' ELSE CASE length(solution) % 4 WHEN 0 THEN 'correct' WHEN 3 THEN 'drop' ELSE 'wrong' END END AS cls FROM read)"""
+
+
+def _arbitrated(spark: SparkSession, d: str) -> DataFrame:
+    """Classes by the rules and, for what they leave open, a table of a judge's words derived from lengths."""
+    samples, dpo = _samples(spark, d), table(spark, d, "dpo_samples")
+    n = F.length("solution") % 4
+    words = grading.to_arbitrate(dpo, samples).where(n != 3).select("key", (n == 0).alias("correct"))
+    return grading.classified(dpo, samples, arbitrated=words)
+
+
+@query(f"WITH {_CTE_ARBITRATED} SELECT id, CAST(i AS INT) AS i, cls FROM c")
+def classify_arbitrated(spark: SparkSession, d: str) -> DataFrame:
+    return _arbitrated(spark, d).select("id", "i", "cls")
+
+
+@query(f"""WITH {_CTE_ARBITRATED}, {_PAIRS_SQL} SELECT r.id, r.rank, s.question AS user_text, r.solution AS assistant_text, w.solution AS rejected_response
+FROM r JOIN k USING (id) JOIN w ON w.id = r.id AND w.place = (r.rank - 1) % wrongs + 1 JOIN s ON s.id = r.id""")
 def dpo_records(spark: SparkSession, d: str) -> DataFrame:
-    """Preference records of the real solutions, classified by the rules."""
-    samples = _samples(spark, d)
-    classes = materialise(grading.classified(table(spark, d, "dpo_samples"), samples))
-    return grading.pair_records(grading.pairs(classes), samples)
+    """Preference records of the real solutions, classified by rules and a judge's words."""
+    made = grading.pair_records(grading.pairs(materialise(_arbitrated(spark, d))), _samples(spark, d))
+    return made.select("id", F.col("rank").cast("bigint").alias("rank"), F.col("messages")[0]["content"].alias("user_text"), F.col("messages")[1]["content"].alias("assistant_text"), "rejected_response")
+
+
+@query()
+def dpo_pairs_compat(spark: SparkSession, d: str) -> DataFrame:
+    """As the pairs of dpo_records, with wrong solutions drawn by Python's generator, which SQL has not."""
+    return grading.pairs_compat(materialise(_arbitrated(spark, d)))
 
 
 @query(f"""WITH {_CTE_SOLUTIONS} SELECT id, CAST(i AS INT) AS i, coalesce(CASE WHEN length(solution) % 2 = 0 THEN 'correct' END, 'drop') AS cls FROM sol""")
