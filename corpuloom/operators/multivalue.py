@@ -72,16 +72,18 @@ def _values(answer: Column, marked: Column, options: Column) -> Column:
 
         return let(py_strip(F.regexp_replace(F.replace(piece, F.lit(DOUBLED), F.lit('"')), r"[。．.]+\s*$", "")), read)
 
-    # an even piece is cut at delimiters, but the row's own texts (the longest first) stay whole
+    # an even piece is cut at delimiters, but the row's own texts (the longest first) stay whole; only where one of them
+    # has a delimiter, or something else may stand behind it, does that take a pattern of the row's own
     longest_first = F.array_sort(options, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
     quoted = F.transform(longest_first, lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
-    own = F.concat(F.lit("(?:"), F.array_join(quoted, "|"), F.lit(rf")(?=\s*(?:[{DELIMITERS}和。.]|$))|"))
-    pattern = F.concat(F.when(F.size(options) > 0, own).otherwise(F.lit("")), F.lit(rf"[^\s{DELIMITERS}][^{DELIMITERS}]*"))
+    plain = rf"[^\s{DELIMITERS}][^{DELIMITERS}]*"
+    own = F.concat(F.lit("(?:"), F.array_join(quoted, "|"), F.lit(rf")(?=\s*(?:[{DELIMITERS}和。.]|$))|{plain}"))
+    special = (F.size(options) > 0) & (marked.rlike("[和。.]") | F.exists(options, lambda t: t.rlike(f"[{DELIMITERS}]")))
 
     def cut(cutter: Column) -> Column:
         return F.transform(F.split(marked, QUOTE), lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(F.regexp_extract_all(F.replace(p, F.lit(DOUBLED), F.lit('""')), cutter, F.lit(0))))
 
-    pieces = let(pattern, cut)
+    pieces = F.when(special, let(own, cut)).otherwise(cut(F.lit(plain)))
     folded = F.flatten(F.transform(F.flatten(pieces), values_of))
     # a field of nothing but letters, quoted or not
     return F.when(known(answer), F.array(answer)).when(half.rlike(LETTERS), _letters(half)).otherwise(folded)

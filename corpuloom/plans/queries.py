@@ -416,13 +416,6 @@ def extract_text_whole(spark: SparkSession, d: str) -> DataFrame:
     return read.select("id", "output", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct"))
 
 
-@query(f"""WITH {_CTE_SAMPLES}, o AS (SELECT DISTINCT out_id, id, run_name, output FROM outputs), w AS (SELECT out_id, run_name, gold, {_declared_sql('output')} AS declaration FROM o JOIN s USING (id) WHERE options IS NULL)
-SELECT out_id, run_name, declaration, {_open_verdict_sql('gold', 'declaration')} AS correct FROM w""")
-def grade_open_outputs(spark: SparkSession, d: str) -> DataFrame:
-    """Rule verdict on every answer to an open question, as the runs gave it."""
-    return grade_outputs(spark, d).where("options is null").select("out_id", "run_name", "declaration", "correct")
-
-
 @query()
 def extract_choice_whole(spark: SparkSession, d: str) -> DataFrame:
     """As extract_choice_grade, with all letters of the key."""
@@ -560,9 +553,9 @@ def replay_payload(spark: SparkSession, d: str) -> DataFrame:
     return each.select("set_name", "id", "bucket", "label", "source", "question", "gold", *sizes, "run", *(F.col(f"a.{p}") for p in parts))
 
 
-@query(f"WITH {_CTE_BUCKETS}, {_CTE_CHOSEN} SELECT set_name, id, bucket FROM chosen WHERE set_name = 'cmexam' AND bucket = 'mixed'")
+@query(f"WITH {_CTE_BUCKETS}, {_CTE_CHOSEN} SELECT set_name, id, bucket FROM chosen WHERE set_name = 'cmexam-test' AND bucket = 'mixed'")
 def replay_filter(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.filtered(_chosen(spark, d), "cmexam", "mixed")
+    return evaluation.filtered(_chosen(spark, d), "cmexam-test", "mixed")
 
 
 @query(f"WITH {_CTE_BUCKETS}, {_CTE_CHOSEN} SELECT CAST(list_position(['regression', 'dpo_fix', 'mixed', 'all_wrong', 'all_correct'], bucket) - 1 AS BIGINT) AS place, bucket FROM (SELECT DISTINCT bucket FROM chosen)")
@@ -631,6 +624,14 @@ def _arbitrated(spark: SparkSession, d: str) -> DataFrame:
     return grading.classified(dpo, samples, arbitrated=words)
 
 
+@query(f"WITH {_CTE_ARBITRATED} SELECT id, CAST(i AS INT) AS i, declaration, {_open_verdict_sql('gold', 'declaration')} AS correct FROM read")
+def grade_solutions(spark: SparkSession, d: str) -> DataFrame:
+    """Rule verdict on every sampled solution of the open questions."""
+    asked = _samples(spark, d).select("id", "gold", "options")
+    read = grading.exploded(table(spark, d, "dpo_samples")).join(asked, "id").withColumn("declaration", grading.declared(F.col("solution"), F.col("options")))
+    return read.select("id", "i", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct"))
+
+
 @query(f"WITH {_CTE_ARBITRATED} SELECT id, CAST(i AS INT) AS i, cls FROM c")
 def classify_arbitrated(spark: SparkSession, d: str) -> DataFrame:
     return _arbitrated(spark, d).select("id", "i", "cls")
