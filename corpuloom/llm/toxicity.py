@@ -460,229 +460,6 @@ def fit(documents: DataFrame, reviews: DataFrame, most: int = MAX_LABELLED) -> C
     return train([t for t, _ in sample], [y for _, y in sample])
 
 
-def score(self, s: Sentences) -> np.ndarray:
-        """Probabilities (sentences x links)."""
-        n = len(s.doc)
-        owner, slot = features(s)
-        raw = np.stack([_summed(owner, self.grams[k].take(slot), n) for k in range(len(self.bias))], axis=1)
-        raw = raw / _sizes(owner, n)[:, None] + self.bias
-        out = np.zeros_like(raw)
-        for k in range(len(self.bias)):
-            out[:, k] = _sigmoid(raw[:, k] + out[:, :k] @ self.earlier[k, :k])
-        return out
-
-
-class _Data:
-    """Sparse n-gram counts of training sentences over the slots that count."""
-
-    def __init__(self, owner: np.ndarray, slot: np.ndarray, n: int, used: np.ndarray):
-        self.used, self.n = np.flatnonzero(used), n
-        size = _sizes(owner, n)
-        keep = used[slot]
-        owner, slot = owner[keep], np.searchsorted(self.used, slot[keep])
-        order = np.argsort(owner, kind="stable")
-        self.owner, self.slot = owner[order], slot[order].astype(np.int32)
-        self.value = 1 / size[self.owner]
-
-    def subset(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        place = np.full(self.n, -1, np.int64)
-        place[rows] = np.arange(len(rows))
-        at = place[self.owner]
-        keep = at >= 0
-        return at[keep], self.slot[keep], self.value[keep], len(rows)
-
-
-def _fit(data: _Data, rows: np.ndarray, y: np.ndarray, extra: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression by full-batch steps with per-weight rates."""
-    owner, slot, value, n = data.subset(rows)
-    w, c = np.zeros(len(data.used)), np.zeros(extra.shape[1])
-    pos = float((weight * y).sum() / max(weight.sum(), 1e-9))
-    b = np.log(max(pos, 1e-6) / max(1 - pos, 1e-6))
-    gw, gc, gb = np.full(len(w), 1e-12), np.full(len(c), 1e-12), 1e-12
-    total = max(weight.sum(), 1.0)
-    for _ in range(STEPS):
-        z = _summed(owner, w.take(slot) * value, n) + extra @ c + b
-        g = weight * (_sigmoid(z) - y) / total
-        dw = np.bincount(slot, weights=g.take(owner) * value, minlength=len(w)) + RIDGE * w
-        dc, db = extra.T @ g + 1e-4 * c, float(g.sum())
-        gw, gc, gb = gw + dw * dw, gc + dc * dc, gb + db * db
-        w -= 0.8 * dw / np.sqrt(gw)
-        c -= 0.3 * dc / np.sqrt(gc)
-        b -= 0.3 * db / np.sqrt(gb)
-    return w, c, b
-
-
-def _evidence(owner: np.ndarray, slot: np.ndarray, doc: np.ndarray, label: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """How strongly a sentence's n-grams belong to toxic documents, its own document left out; documents per slot.
-
-    The first is the sum of the log odds beyond CLEAR of a sentence's n-grams.
-    """
-    slots = 1 << LOG2_SLOTS
-    pair = np.unique(doc[owner].astype(np.int64) << LOG2_SLOTS | slot)
-    where, whose = pair & (slots - 1), pair >> LOG2_SLOTS
-    docs = np.bincount(where, minlength=slots)
-    toxic = np.bincount(where, weights=label[whose] == 1, minlength=slots)
-    share = label.mean()
-    mine = label[doc[owner]] == 1
-    t = toxic[slot] - mine
-    h = docs[slot] - toxic[slot] - ~mine
-    odds = np.log((t + 0.5 * share) / (h + 0.5 * (1 - share)) * ((1 - share) / share))
-    return np.bincount(owner, weights=np.maximum(odds - CLEAR, 0), minlength=n), docs
-
-
-def _part(owner: np.ndarray, slot: np.ndarray, n: int, use: np.ndarray, docs: np.ndarray) -> _Data:
-    """The n-grams of the sentences ``use``."""
-    place = np.full(n, -1, np.int64)
-    place[use] = np.arange(len(use))
-    keep = place[owner] >= 0
-    return _Data(place[owner[keep]], slot[keep], len(use), docs >= MIN_DOCS)
-
-
-def _groups(owner: np.ndarray, slot: np.ndarray, n: int, docs: np.ndarray, rows: np.ndarray, total: int) -> np.ndarray:
-    """Group (0 for the largest) of each of the sentences ``rows``: spherical k-means on their weighted n-grams.
-
-    The first centre is the sentence with most n-grams, each further one the sentence least like those before, so that
-    nothing is left to chance.
-    """
-    place = np.full(n, -1, np.int64)
-    place[rows] = np.arange(len(rows))
-    keep = (place[owner] >= 0) & (docs[slot] >= MIN_DOCS)
-    at, s = place[owner[keep]], slot[keep]
-    order = np.argsort(at, kind="stable")
-    at, s = at[order], s[order]
-    w = np.log(total / np.maximum(docs[s], 1))
-    w = w / np.sqrt(np.maximum(np.bincount(at, weights=w * w, minlength=len(rows)), 1e-12))[at]
-
-    def like(centre: np.ndarray) -> np.ndarray:
-        return _summed(at, centre.take(s) * w, len(rows))
-
-    def centre(members: np.ndarray) -> np.ndarray:
-        of = members[at]
-        c = np.bincount(s[of], weights=w[of], minlength=len(docs))
-        return c / max(np.sqrt((c * c).sum()), 1e-12)
-
-    k = min(GROUPS, len(rows))
-    first = int(np.argmax(np.bincount(at, minlength=len(rows))))
-    near = like(centre(np.arange(len(rows)) == first))
-    chosen = [first]
-    while len(chosen) < k:
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, like(centre(np.arange(len(rows)) == chosen[-1])))
-    centres = [centre(np.arange(len(rows)) == i) for i in chosen]
-    group = np.zeros(len(rows), np.int64)
-    for _ in range(12):
-        now = np.argmax(np.stack([like(c) for c in centres]), axis=0)
-        if (now == group).all():
-            break
-        group = now
-        centres = [centre(group == i) if (group == i).any() else centres[i] for i in range(k)]
-    rank = np.empty(k, np.int64)
-    rank[np.argsort(-np.bincount(group, minlength=k), kind="stable")] = np.arange(k)
-    return rank[group]
-
-
-def _threshold(worst: np.ndarray, label: np.ndarray) -> float:
-    """The middle of the thresholds on documents' worst scores that agree best with the reviewers."""
-    grid = np.linspace(0.2, 0.9, 71)
-    right = np.array([((worst >= t) == (label == 1)).sum() for t in grid])
-    near = grid[right >= right.max()]
-    return float(near[len(near) // 2])
-
-
-def train(texts: list[str], labels: list[int]) -> Chain:
-    """Fit the chain on labelled documents (1 toxic, 0 not)."""
-    links = len(CATEGORIES)
-    empty = Chain(np.zeros((links, 1 << LOG2_SLOTS), np.float32), np.zeros((links, links)), np.full(links, -30.0), 2.0)
-    label = np.array(labels, np.int64)
-    if not label.any() or label.all():
-        return empty
-    cut_up = cut(texts)
-    doc, n = cut_up.doc, len(cut_up.doc)
-    owner, slot = features(cut_up)
-    toxic = label[doc] == 1
-    strength, docs = _evidence(owner, slot, doc, label, n)
-    # down to the evidence from which on fewer than PURE of the sentences are of toxic documents
-    order = np.argsort(-strength, kind="stable")
-    order = order[strength[order] > 0]
-    seen = np.cumsum(np.append(0, toxic[order]))
-    run = min(RUN, len(order))
-    pure = (seen[run:] - seen[: len(seen) - run]) / max(run, 1) if run else np.zeros(0)
-    below = np.flatnonzero(pure < PURE)
-    chosen = np.zeros(n, bool)
-    chosen[order[: below[0] + run // 2 if len(below) else len(order)]] = True
-    chosen &= toxic
-    if not chosen.any():
-        return empty
-    # harmless sentences: those most like toxic ones, and others by hash
-    ranked = np.flatnonzero(~toxic)[np.argsort(-strength[~toxic], kind="stable")]
-    others = ranked[HARD:][np.argsort(mix64(ranked[HARD:].astype(np.uint64)), kind="stable")[:EASY]]
-    use = np.sort(np.concatenate([np.flatnonzero(chosen), ranked[:HARD], others]))
-    for _ in range(2):
-        data = _part(owner, slot, n, use, docs)
-        y = chosen[use].astype(float)
-        w, _, bias0 = _fit(data, np.arange(len(use)), y, np.zeros((len(use), 0)), np.where(y > 0, 3.0, 1.0))
-        every = np.zeros(1 << LOG2_SLOTS)
-        every[data.used] = w
-        z = _summed(owner, every.take(slot), n) / _sizes(owner, n)
-        # toxic documents without a sentence yet: the worst one, if the model is sure
-        explained = np.bincount(doc[chosen], minlength=len(texts)) > 0
-        open_ = np.flatnonzero(toxic & ~explained[doc])
-        open_ = open_[np.lexsort((-z[open_], doc[open_]))]
-        worst = open_[np.append(True, doc[open_][1:] != doc[open_][:-1])[: len(open_)]]
-        added = worst[_sigmoid(z[worst] + bias0) >= SURE]
-        chosen[added] = True
-        z[toxic] = -np.inf
-        z[use] = -np.inf
-        mined = np.argsort(-z, kind="stable")[:MINED]
-        use = np.sort(np.concatenate([use, mined[np.isfinite(z[mined])], added]))
-    data = _part(owner, slot, n, use, docs)
-    y_all = chosen[use]
-    fold_all = (mix64(doc.astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
-    fold, sizes = fold_all[use], _sizes(owner, n)
-    group = np.full(len(use), -1, np.int64)
-    group[y_all] = _groups(owner, slot, n, docs, use[y_all], len(texts))
-    earlier_all = np.zeros((n, 0))  # out of fold, of all sentences
-    grams, coef, bias = [], np.zeros((links, links)), np.zeros(links)
-    for k in range(links):
-        y = ((group == k) if k < links - 1 else y_all).astype(float)
-        part = ~y_all | (y > 0)  # a toxic sentence of another group says nothing about this one
-        weight = np.where(y > 0, 3.0, 1.0)
-        earlier = earlier_all[use]
-        out = np.zeros(n)
-        for f in range(FOLDS):
-            at = np.flatnonzero(part & (fold != f))
-            w, c, b = _fit(data, at, y[at], earlier[at], weight[at])
-            every = np.zeros(1 << LOG2_SLOTS)
-            every[data.used] = w
-            here = fold_all[owner] == f
-            z = _summed(owner[here], every.take(slot[here]), n) / sizes + earlier_all @ c + b
-            out[fold_all == f] = _sigmoid(z)[fold_all == f]
-        at = np.flatnonzero(part)
-        w, c, bias[k] = _fit(data, at, y[at], earlier[at], weight[at])
-        grams.append(w)
-        coef[k, :k] = c
-        earlier_all = np.column_stack([earlier_all, out])
-    # the threshold that agrees best with the reviewers, on out-of-fold scores of all sentences
-    worst = np.zeros(len(texts))
-    np.maximum.at(worst, doc, earlier_all[:, -1])
-    full = np.zeros((links, 1 << LOG2_SLOTS), np.float32)
-    full[:, data.used] = np.array(grams)
-    return Chain(full, coef, bias, _threshold(worst, label))
-
-
-def labelled(documents: DataFrame, reviews: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """text, toxic of at most ``most`` reviewed documents on which reviewers agree."""
-    votes = reviews.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("share")).where("share in (0, 1)")
-    chosen = votes.select("doc_id", F.col("share").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("text", "toxic")
-
-
-def fit(documents: DataFrame, reviews: DataFrame, most: int = MAX_LABELLED) -> Chain:
-    sample = labelled(documents, reviews, most).collect()  # bounded by ``most``
-    sample.sort(key=lambda r: (r["text"], r["toxic"]))  # the same fit however the rows arrive
-    return train([r["text"] for r in sample], [r["toxic"] for r in sample])
-
-
 def score(documents: DataFrame, chain: Chain, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, further columns, a probability per category and ``found``: every document, by its worst sentence."""
     shared = documents.sparkSession.sparkContext.broadcast(chain)

@@ -161,6 +161,23 @@ def test_copies_of_questions_that_speak_of_answers(spark):
     assert A.truncated(o, d, s).count() == 0
 
 
+def test_hot_item_and_missing_items(spark, monkeypatch):
+    """A third of the answers are to one item, a third to none: they are divided into blocks, with the same result."""
+    from corpuloom.operators import skew
+
+    texts = [None, "推理完整。\n答案:A", "因为血压升高，考虑", "您的问题是：" + ZH, "我无法回答这个问题。", "This is written in the other language, and it is long enough for that."]
+    outs = [(i, "r", "s", "z" if i % 3 == 0 else None if i % 3 == 1 else f"n{i}", texts[i // 3 % len(texts)], "", "") for i in range(180)]
+    o, d = spark.createDataFrame(outs, OUTPUTS), spark.createDataFrame([], DPO)
+    s = spark.createDataFrame([("z", "src", ZH, "A", {"A": "甲"}, None, {}), *((f"n{i}", "src", EN, "A", {"A": "x"}, None, {}) for i in range(0, 180, 2))], SAMPLES)
+
+    def found():
+        return sorted(tuple(r) for r in A.defects(o, d, s).select("rec_id", "source", "defect").collect())
+
+    whole = found()
+    monkeypatch.setattr(skew, "BLOCK", 7)
+    assert found() == whole and sum(r[2] == "copy" for r in whole) == 10 and sum(r[2] == "language" for r in whole) >= 10
+
+
 def test_rare_words_are_known(spark):
     golds = ["常见疾病"] * 400 + ["梨状窝臼瘘", "pure osteopetrosis"]
     samples = spark.createDataFrame([(f"g{i}", "src", "问" * 9, g, None, None, {}) for i, g in enumerate(golds)], SAMPLES)
