@@ -18,6 +18,9 @@ BOXED_LETTERS = r"\\boxed\{((?=[^{}]*[A-Ja-j])[A-Ja-j\s、,和]+)\}"
 DECLARED_LETTERS = rf"(?:最终答案|正确答案|答案|(?<![不别勿莫误错])故选|(?<![不别勿莫误错])应选)\s*(?:是|为|:)?\s*[*\s「【\[(]*({LETTER}(?:\s*[、,和\s]\s*{LETTER})*)"
 ENGLISH_LETTER = r"(?i:the\s+answer\s+is|answer\s*:)\s*[*\s]*\(?([A-Ja-j])\)?(?![A-Za-z0-9])"
 CHOICE = f"(?U){BOXED_LETTERS}|{DECLARED_LETTERS}|{ENGLISH_LETTER}"
+#: The wide reading: full-width colons and commas count, and letters may run together.
+WIDE_RUN = r"[A-J]+(?:\s*[、,，和\s]\s*[A-J]+)*(?![A-Za-z0-9一-鿿])"
+WIDE_CHOICE = rf"(?U){BOXED_LETTERS}|(?:最终答案|正确答案|答案|(?<![不别勿莫误错])故选|(?<![不别勿莫误错])应选)\s*(?:是|为|[:：])?\s*[*\s「【\[(（]*({WIDE_RUN})|{ENGLISH_LETTER}"
 BOXED_TEXT = r"\\boxed\{([^{}]+)\}"
 DECLARED_TEXT = r"(?Ud)(?:最终答案|答案)\s*(?:是|为|:)\s*(.+)"
 CLOSING = r"[。.」】]+\z"
@@ -29,14 +32,17 @@ def _tail(output: Column) -> Column:
     return F.regexp_replace(F.right(output, F.lit(TAIL)), WRAPPER, "$1")
 
 
-def extract_choice(output: Column) -> Column:
+def extract_choice(output: Column, wide: bool = False) -> Column:
     """Letters of the last declaration: upper case, distinct, sorted; null where none is declared.
 
+    ``wide`` also reads full-width punctuation and letters that run together.
+
     One alternation searches for all declarations in one pass, so that the last one is the last of
     the array; its letters are read from the short match.
     """
-    declared = last(F.regexp_extract_all(_tail(output), F.lit(CHOICE), F.lit(0)))
-    letters = let(declared, lambda d: F.concat(*(F.regexp_extract(d, CHOICE, g) for g in (1, 2, 3))))
+    pattern = WIDE_CHOICE if wide else CHOICE
+    declared = last(F.regexp_extract_all(_tail(output), F.lit(pattern), F.lit(0)))
+    letters = let(declared, lambda d: F.concat(*(F.regexp_extract(d, pattern, g) for g in (1, 2, 3))))
     return filled(sorted_letters(F.upper(F.regexp_replace(letters, "[^A-Ja-j]", ""))))
 
 

@@ -47,24 +47,30 @@ class Sketch:
         return self.of(h) > 0
 
 
-def sketch(hashes: DataFrame, expected: int, most_log2: int = MOST_LOG2) -> Broadcast:
-    """Broadcast :class:`Sketch` of the column ``h`` (times ``n`` where there is such a column).
+SLOTS = "seg int, slot int, c int"
 
-    Counters are summed by batch before the one shuffle, segments are built on the executors, and the driver
-    puts a number of segments together that is fixed by the size of the sketch.
-    """
-    log2 = min(max(math.ceil(math.log2(max(expected, 1) * SLOTS_PER_HASH)), _SEGMENT), most_log2)
-    shift, within = np.uint64(64 - log2), (1 << _SEGMENT) - 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot = (b.column(0).to_numpy().view(np.uint64) >> shift).astype(np.int64)
-            if b.num_columns > 1:
-                u, same = np.unique(slot, return_inverse=True)
-                c = np.bincount(same, weights=b.column(1).to_numpy(), minlength=len(u))
-            else:
-                u, c = np.unique(slot, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((u >> _SEGMENT).astype(np.int32)), pa.array((u & within).astype(np.int32)), pa.array(np.minimum(c, 255).astype(np.int32))], ["seg", "slot", "c"])
+def log2_for(expected: int, most_log2: int = MOST_LOG2) -> int:
+    """Size of a sketch of so many hashes."""
+    return min(max(math.ceil(math.log2(max(expected, 1) * SLOTS_PER_HASH)), _SEGMENT), most_log2)
+
+
+def slots(h: np.ndarray, log2: int, times: np.ndarray | None = None) -> pa.RecordBatch:
+    """Segment, place in it and count of some hashes, summed by counter."""
+    slot = (h.view(np.uint64) >> np.uint64(64 - log2)).astype(np.int64)
+    if times is None:
+        u, c = np.unique(slot, return_counts=True)
+    else:
+        u, same = np.unique(slot, return_inverse=True)
+        c = np.bincount(same, weights=times, minlength=len(u))
+    return pa.RecordBatch.from_arrays([pa.array((u >> _SEGMENT).astype(np.int32)), pa.array((u & ((1 << _SEGMENT) - 1)).astype(np.int32)), pa.array(np.minimum(c, 255).astype(np.int32))], ["seg", "slot", "c"])
+
+
+def assembled(counted: DataFrame, log2: int) -> Broadcast:
+    """Broadcast :class:`Sketch` of rows of :func:`slots`: one shuffle, segments are built on the executors.
+
+    The driver puts a number of segments together that is fixed by the size of the sketch.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
@@ -79,8 +85,18 @@ def sketch(hashes: DataFrame, expected: int, most_log2: int = MOST_LOG2) -> Broa
         for s, part in own.items():
             yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "counts": pa.array([zlib.compress(part.astype(np.uint8).tobytes(), 1)], pa.binary())})
 
-    slots = hashes.select("h", *(["n"] if "n" in hashes.columns else [])).mapInArrow(count, "seg int, slot int, c int")
     parts = min(16, max(1, (1 << log2 - _SEGMENT) // 16))
-    made = slots.repartition(parts, "seg").mapInArrow(build, "seg int, counts binary")
+    made = counted.repartition(parts, "seg").mapInArrow(build, "seg int, counts binary")
     segments = {seg: bytes(counts) for seg, counts in made.collect()}  # their number is fixed by log2
-    return hashes.sparkSession.sparkContext.broadcast(Sketch(segments, log2))
+    return counted.sparkSession.sparkContext.broadcast(Sketch(segments, log2))
+
+
+def sketch(hashes: DataFrame, expected: int, most_log2: int = MOST_LOG2) -> Broadcast:
+    """Broadcast :class:`Sketch` of the column ``h`` (times ``n`` where there is such a column); counters are summed by batch before the shuffle."""
+    log2 = log2_for(expected, most_log2)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield slots(b.column(0).to_numpy(), log2, b.column(1).to_numpy() if b.num_columns > 1 else None)
+
+    return assembled(hashes.select("h", *(["n"] if "n" in hashes.columns else [])).mapInArrow(count, SLOTS), log2)

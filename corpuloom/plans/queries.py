@@ -15,14 +15,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuloom.functions.extract import first_declared
+from corpuloom.functions.extract import first_declared, judge_reply
 from corpuloom.functions.stats import nice_max, short_count, verdict_name
-from corpuloom.functions.text import norm_text
+from corpuloom.functions.text import first_clause, norm_text
 from corpuloom.operators import decontaminate, evaluation, grading, loadtest, multivalue, sampling
 from corpuloom.operators.ranks import numbered
-from corpuloom.runtime import materialise, spread, table
-from corpuloom.sources import adapters
-from corpuloom.sources.readers import last_wins
+from corpuloom.runtime import materialise, spread, stage_path, table
+from corpuloom.sources import adapters, chat
+from corpuloom.sources.readers import last_wins, read_jsonl, write_jsonl
 from corpuloom.streaming.resume import remaining
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -426,6 +426,44 @@ def extract_choice_whole(spark: SparkSession, d: str) -> DataFrame:
     return read.select("id", "output", "declaration", grading.rule_verdict(F.col("gold"), F.col("options"), F.col("declaration")).alias("correct"))
 
 
+@query("SELECT doc_id, regexp_extract(text, '^[^,。;!?]*', 0) AS clause FROM documents WHERE text IS NOT NULL")
+def first_clauses(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select("doc_id", first_clause(F.col("text")).alias("clause"))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS correct FROM documents")
+def judge_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies of a judge in several forms, of which only a boolean counts."""
+    forms = ['ok {"correct": true, "reason": "x"}', '{"correct": false}', '{"correct": "true"}', "no verdict", '{"other": true}']
+    reply = F.get(F.array(*map(F.lit, forms)), (F.col("doc_id") % 5).cast("int"))
+    return table(spark, d, "documents").select("doc_id", judge_reply(reply).alias("correct"))
+
+
+@query(f"""WITH {_CTE_SAMPLES}, w AS (SELECT id, question, gold, {_WRITTEN} AS output FROM s WHERE options IS NULL AND gold IS NOT NULL), r AS (SELECT *, {_declared_sql('output')} AS declaration FROM w)
+SELECT id, left(question, 1500) AS question, left(gold, 500) AS gold, right(output, 1500) AS output FROM r WHERE {_open_verdict_sql('gold', 'declaration')} IS NULL""")
+def judge_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """What a judge reads of the open questions on which the rules abstain."""
+    form = F.ascii(F.right("id", F.lit(1))) % 3
+    rows = _samples(spark, d).where("options is null and gold is not null")
+    text = F.when(form == 0, F.concat(F.lit("最终答案: "), F.col("gold"), F.lit("。"))).when(form == 1, F.concat(F.lit("答案:x\n\\boxed{"), F.col("gold"), F.lit("}"))).otherwise(F.concat(F.lit("so "), F.col("gold")))
+    return grading.judge_prompts(rows, rows.select("id", text.alias("output")))
+
+
+@query(f"""WITH {_CTE_SAMPLES} SELECT id, CASE WHEN options IS NOT NULL THEN 'Choose: ' || question || coalesce(list_reduce(list_transform(list_sort(map_entries(options)), lambda e: chr(10) || e.key || '. ' || coalesce(e.value, '')), lambda a, b: a || b), '') || '!' ELSE 'Answer: ' || question END AS prompt
+FROM s WHERE options IS NULL OR cardinality(options) > 0 UNION ALL SELECT id, 'Choose: ' || question || '!' FROM s WHERE cardinality(options) = 0""")
+def prompt_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The rendered questions in the template of their kind."""
+    return chat.prompts(_samples(spark, d), "Choose: {}!", "Answer: {}")
+
+
+@query(f"WITH {_CTE_SAMPLES} SELECT row_number() OVER (ORDER BY id) - 1 AS ord, id, question, gold, cot FROM s")
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All samples written as JSON lines in the order of ids and read back with their line numbers."""
+    path = stage_path(spark)
+    write_jsonl(_samples(spark, d).select(F.col("id").alias("place"), "id", "question", "gold", "cot"), path, "place")
+    return read_jsonl(spark, path, "id string, question string, gold string, cot string")
+
+
 @query(f"""WITH {_CTE_SAMPLES}, w AS (SELECT *, CASE WHEN length(id) % 5 = 4 THEN NULL WHEN options IS NULL THEN {_WRITTEN} ELSE 'x ' || chr(92) || 'boxed{{' || left(gold, 1) || '}}' END AS output FROM s WHERE gold IS NOT NULL),
 r AS (SELECT *, CASE WHEN options IS NULL THEN {_declared_sql('output')} END AS text FROM w),
 v AS (SELECT *, CASE WHEN options IS NULL THEN {_open_verdict_sql('gold', 'text')} WHEN output IS NOT NULL AND gold <> '' THEN left(gold, 1) = gold END AS rule, length(question) % 3 <> 0 AS asked, CASE WHEN length(question) % 3 = 1 THEN length(question) % 2 = 0 END AS word FROM r)

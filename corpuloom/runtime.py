@@ -45,18 +45,23 @@ def _delete(spark: SparkSession, path: str) -> None:
 _stages: list[str] = []
 
 
+def stage_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed by :func:`release`, at the latest when the driver process ends."""
+    path = f"{shared_dir(spark)}/corpuloom/{uuid.uuid4().hex}"
+    if not _stages:
+        atexit.register(release, spark)
+    _stages.append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a re-read, not a re-run. The files are removed by
-    :func:`release`, at the latest when the driver process ends.
+    Cuts the lineage: a lost executor costs a re-read, not a re-run.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpuloom/{uuid.uuid4().hex}"
+    path = stage_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    if not _stages:
-        atexit.register(release, spark)
-    _stages.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,6 +18,12 @@ def test_declarations(spark, cases, read):
     assert {cases[i][0][-40:]: v for i, v in got.items()} == {t[-40:]: v for t, v in cases}
 
 
+def test_wide_reading(spark):
+    cases = {"答案：C": ("C", None), "答案:ABD": ("ABD", None), "答案:A，C。": ("AC", "A"), "故选（B）": ("B", None), "答案：ABC综合征": (None, None), "\\boxed{CA}": ("AC", "AC"), "不故选A": (None, None), "the answer is (b)": ("B", "B")}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r[0]: (r[1], r[2]) for r in rows.select("t", extract_choice(F.col("t"), wide=True), extract_choice(F.col("t"))).collect()} == cases
+
+
 def test_wrapped_text(spark):
     cases = {r"\boxed{\text{肺栓塞}}": "肺栓塞", r"so \boxed{\mathrm{ATP}}。": "ATP", "答案: \\mathbf{胃}。": "胃"}
     rows = spark.createDataFrame([(k,) for k in cases], "t string")
