@@ -37,6 +37,11 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.clean(*_samples(spark, d))
 
 
+@query
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.redact(*_samples(spark, d))
+
+
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repeated(table(spark, d, "outputs")).select("out_id")

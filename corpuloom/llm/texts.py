@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuloom.functions.windows import chunks, compared, distinct_windows
-from corpuloom.operators.sketches import sketch
+from corpuloom.operators.sketches import SLOTS, assembled, log2_for, slots
 from corpuloom.operators.skew import hot_keys, spread_join
 from corpuloom.runtime import materialise, spread
 
@@ -58,31 +58,17 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return materialise(once.withColumn("no", F.monotonically_increasing_id()))
 
 
-def windows_of(texts: DataFrame, n: int) -> DataFrame:
-    """no, h: the distinct windows of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.column(1).to_pylist()
-            for i, j in chunks(rows, 300_000):
-                owner, h = distinct_windows(rows[i:j], n)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner + i)), pa.array(h.view(np.int64))], ["no", "h"])
-
-    return texts.select("no", "text").mapInArrow(run, "no bigint, h bigint")
-
-
 def window_sketch(texts: DataFrame, n: int):
     """Broadcast sketch of the windows of all texts and in how many of them each occurs."""
+    log2 = log2_for(texts.agg(F.sum(F.length("text"))).first()[0] or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column(0).to_pylist()
             for i, j in chunks(rows, 2_000_000):  # counted per chunk before the shuffle
-                u, c = np.unique(distinct_windows(rows[i:j], n)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["h", "n"])
+                yield slots(distinct_windows(rows[i:j], n)[1], log2)
 
-    expected = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    return sketch(texts.select("text").mapInArrow(run, "h bigint, n bigint"), expected)
+    return assembled(texts.select("text").mapInArrow(run, SLOTS), log2)
 
 
 def windows_in(texts: DataFrame, n: int, members) -> DataFrame:

@@ -45,6 +45,32 @@ def test_leakage_reports(spark, rows):
     assert clean == set(of_split(rows, True)) - {t for v in per.values() for t in v}
 
 
+def test_redaction(spark, rows):
+    s, r = samples(spark, rows), registry(spark)
+    train, held = of_split(rows, True), of_split(rows, False)
+    got = {x["id"]: x for x in leakage.redact(s, r).collect()}
+    assert set(got) == set(train)
+    leaked = {}
+    for a, b in pairs(leakage.find(s, r)):
+        leaked.setdefault(a if a in train else b, []).append(b if a in train else a)
+    for k, row in train.items():
+        x = got[k]
+        if k not in leaked:
+            assert (x["question"], x["cot"], x["removed"]) == (row[2], row[3], 0)
+            continue
+        full, quoted = compared(f"{row[2] or ''}\n{row[3] or ''}"), set()
+        for e in leaked[k]:
+            w = windows(held[e][2], 10)
+            quoted |= {j for i in range(len(full) - 9) if full[i : i + 10] in w for j in range(i, i + 10)}
+        left = "".join(c for i, c in enumerate(full) if i not in quoted)
+        assert compared(f"{x['question'] or ''}\n{x['cot'] or ''}") == left and x["removed"] == len(quoted)
+
+
+def test_removed_stretches():
+    assert leakage.without("Ａb，c-d e", [(1, 3)]) == "Ａ-d e" and leakage.without("abc", []) == "abc" and leakage.without("", []) == ""
+    assert leakage.without("e\u0301x y", [(0, 1)]) == "x y" and leakage.without("ab, cd", [(0, 2)]) == ", cd"
+
+
 def test_overlap(spark, rows):
     want = set()
     for t in of_split(rows, True).values():
@@ -159,7 +185,7 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-@pytest.mark.parametrize("f", [leakage.find, leakage.items, leakage.clean, overlap.find, overlap.report, neardup.find, neardup.groups])
+@pytest.mark.parametrize("f", [leakage.find, leakage.items, leakage.clean, leakage.redact, overlap.find, overlap.report, neardup.find, neardup.groups])
 def test_empty(spark, f):
     none = samples(spark, [])
     assert f(none, registry(spark)).count() == 0
