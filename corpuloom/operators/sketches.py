@@ -47,7 +47,8 @@ class Sketch:
         return self.of(h) > 0
 
 
-SLOTS = "seg int, slot int, c int"
+#: Counters of one segment: their places in it (16 bits each) and counts (8 bits each).
+SLOTS = "seg int, slot binary, c binary"
 
 
 def log2_for(expected: int, most_log2: int = MOST_LOG2) -> int:
@@ -56,14 +57,19 @@ def log2_for(expected: int, most_log2: int = MOST_LOG2) -> int:
 
 
 def slots(h: np.ndarray, log2: int, times: np.ndarray | None = None) -> pa.RecordBatch:
-    """Segment, place in it and count of some hashes, summed by counter."""
+    """The counters of some hashes, one row per segment, so that no row stands for a single hash."""
     slot = (h.view(np.uint64) >> np.uint64(64 - log2)).astype(np.int64)
     if times is None:
         u, c = np.unique(slot, return_counts=True)
     else:
         u, same = np.unique(slot, return_inverse=True)
         c = np.bincount(same, weights=times, minlength=len(u))
-    return pa.RecordBatch.from_arrays([pa.array((u >> _SEGMENT).astype(np.int32)), pa.array((u & ((1 << _SEGMENT) - 1)).astype(np.int32)), pa.array(np.minimum(c, 255).astype(np.int32))], ["seg", "slot", "c"])
+    seg = u >> _SEGMENT
+    heads = np.flatnonzero(np.append(True, seg[1:] != seg[:-1])[: len(u)])
+    edges = np.append(heads, len(u)).tolist()
+    place, count = (u & ((1 << _SEGMENT) - 1)).astype(np.uint16), np.minimum(c, 255).astype(np.uint8)
+    cut = list(zip(edges[:-1], edges[1:]))
+    return pa.RecordBatch.from_arrays([pa.array(seg[heads].astype(np.int32)), pa.array([place[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([count[i:j].tobytes() for i, j in cut], pa.binary())], ["seg", "slot", "c"])
 
 
 def assembled(counted: DataFrame, log2: int) -> Broadcast:
@@ -75,13 +81,10 @@ def assembled(counted: DataFrame, log2: int) -> Broadcast:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
         for b in batches:
-            seg, slot, c = (b.column(i).to_numpy() for i in range(3))
-            order = np.argsort(seg, kind="stable")
-            cuts = np.flatnonzero(np.diff(seg[order])) + 1
-            for at in np.split(order, cuts) if len(order) else []:
-                part = own.setdefault(int(seg[at[0]]), np.zeros(1 << _SEGMENT, np.uint16))
-                u, same = np.unique(slot[at], return_inverse=True)
-                part[u] = np.minimum(part[u] + np.bincount(same, weights=c[at], minlength=len(u)), 255)
+            for seg, slot, c in zip(*(b.column(i).to_pylist() for i in range(3))):
+                part = own.setdefault(seg, np.zeros(1 << _SEGMENT, np.uint16))
+                at = np.frombuffer(slot, np.uint16)  # each place once
+                part[at] = np.minimum(part[at] + np.frombuffer(c, np.uint8), 255)
         for s, part in own.items():
             yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "counts": pa.array([zlib.compress(part.astype(np.uint8).tobytes(), 1)], pa.binary())})
 
@@ -91,12 +94,35 @@ def assembled(counted: DataFrame, log2: int) -> Broadcast:
     return counted.sparkSession.sparkContext.broadcast(Sketch(segments, log2))
 
 
+#: Hashes that a task counts at a time.
+_AT_ONCE = 2_000_000
+
+
 def sketch(hashes: DataFrame, expected: int, most_log2: int = MOST_LOG2) -> Broadcast:
-    """Broadcast :class:`Sketch` of the column ``h`` (times ``n`` where there is such a column); counters are summed by batch before the shuffle."""
+    """Broadcast :class:`Sketch` of the column ``h`` (times ``n`` where there is such a column); counters are summed by task before the shuffle."""
     log2 = log2_for(expected, most_log2)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n, size = [], [], 0
         for b in batches:
-            yield slots(b.column(0).to_numpy(), log2, b.column(1).to_numpy() if b.num_columns > 1 else None)
+            h.append(b.column(0).to_numpy())
+            n.append(b.column(1).to_numpy() if b.num_columns > 1 else np.ones(b.num_rows))
+            size += b.num_rows
+            if size >= _AT_ONCE:
+                yield slots(np.concatenate(h), log2, np.concatenate(n))
+                h, n, size = [], [], 0
+        if size:
+            yield slots(np.concatenate(h), log2, np.concatenate(n))
 
     return assembled(hashes.select("h", *(["n"] if "n" in hashes.columns else [])).mapInArrow(count, SLOTS), log2)
+
+
+def frequent(rows: DataFrame, members: Broadcast, least: int) -> DataFrame:
+    """The rows whose hash ``h`` has a count of at least ``least`` (255 at most) in the sketch, and some that only share its counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = members.value
+        for b in batches:
+            yield b.filter(pa.array(counts.of(b.column(b.schema.get_field_index("h")).to_numpy()) >= min(least, 255)))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpuloom.operators.sketches import sketch
+from corpuloom.operators.sketches import frequent, sketch
 from corpuloom.operators.skew import pairs_within, spread_join
 
 
@@ -37,6 +37,8 @@ def test_sketch(spark):
     df = spark.createDataFrame([(int(x), int(i % 300 + 1)) for i, x in enumerate(h)], "h bigint, n bigint")
     s = sketch(df, 5000).value
     assert (s.of(h.view(np.uint64)) >= np.minimum(np.arange(5000) % 300 + 1, 255)).all()
+    often = {r["h"] for r in frequent(df, sketch(df, 5000), 100).collect()}
+    assert often >= {int(x) for i, x in enumerate(h) if i % 300 + 1 >= 100} and len(often) < 4000
     others = rng.integers(0, 1 << 64, 20000, dtype=np.uint64)
     assert s.has(others).mean() < 0.1
     assert not sketch(df.limit(0), 0).value.has(others).any()
