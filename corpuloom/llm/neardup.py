@@ -5,9 +5,8 @@ in both are at least 0.6 of those found in either.
 
 1. Each distinct text gets MinHash values of its windows: ``BANDS * ROWS`` values grouped into bands
    for candidates, and ``CHECKS`` further values of one byte for verification.
-2. Texts that share a band's values are candidates. How often each value occurs is counted with partial
-   sums; values that occur once, nearly all, are kept out of the join by a broadcast sketch of
-   bounded size. Buckets of more than ``BLOCK`` texts are divided into blocks, and pairs of blocks are
+2. Texts that share a band's values are candidates. A broadcast sketch of bounded size counts how often each value
+   occurs; values that occur once, nearly all, are neither shuffled nor joined. Buckets of more than ``BLOCK`` texts are divided into blocks, and pairs of blocks are
    spread over tasks, so that no task holds a whole hot bucket.
 3. Candidates are verified sequentially: signatures are compared in batches of ``BATCH`` values;
    after each batch the posterior probability that the similarity reaches the bound is computed
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 from corpuloom.functions.windows import chunks, distinct_windows, mix64
 from corpuloom.llm.components import components
 from corpuloom.llm.texts import TRAIN, compared_rows, distinct_texts, similar_texts, with_split
-from corpuloom.operators.sketches import sketch
+from corpuloom.operators.sketches import SLOTS, assembled, log2_for, slots
 from corpuloom.operators.skew import hot_keys, pairs_within, spread_join
 from corpuloom.runtime import materialise, spread
 
@@ -108,18 +107,25 @@ def _signed(texts: DataFrame) -> DataFrame:
 
 def _candidates(signed: DataFrame) -> DataFrame:
     """no_a < no_b of texts that share a band, each pair once."""
-    counts = materialise(signed.select(F.explode("bands").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = sketch(counts, counts.count())
+    log2 = log2_for(signed.count() * BANDS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield slots(b.column(0).flatten().to_numpy(), log2)
+
+    members = assembled(signed.select("bands").mapInArrow(count, SLOTS), log2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = members.value
+        counts = members.value
         for b in batches:
             h = b.column(1).flatten().to_numpy()
-            at = np.flatnonzero(shared.has(h))
+            at = np.flatnonzero(counts.of(h) > 1)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at // BANDS)), pa.array(h[at])], ["no", "h"])
 
-    entries = signed.select("no", "bands").mapInArrow(run, "no bigint, h bigint")
-    met = pairs_within(entries.join(counts, "h"), "h", "no", "n", BLOCK)
+    entries = materialise(signed.select("no", "bands").mapInArrow(run, "no bigint, h bigint"))
+    sizes = materialise(entries.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = spread_join(entries, sizes, "h", "no", hot_keys(sizes, "h", count="n"))
+    met = pairs_within(shared, "h", "no", "n", BLOCK)
     return met.select(F.col("a").alias("no_a"), F.col("b").alias("no_b")).distinct()
 
 
