@@ -91,6 +91,37 @@ def test_overlap_in_many_shards(spark, rows, monkeypatch):
     assert pairs(overlap.find(samples(spark, rows), registry(spark))) == whole
 
 
+def test_overlap_shuffles_no_index(spark, rows, monkeypatch):
+    """However many meetings there are of shards and groups, tasks read both from the written tables."""
+    plans, real = [], overlap.materialise
+
+    def spied(df):
+        if df.columns == ["no_a", "no_b"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(overlap, "materialise", spied)
+    monkeypatch.setattr(overlap, "SHARD_CHARS", 400)
+    monkeypatch.setattr(overlap, "GROUP_CHARS", 3000)
+    assert pairs(overlap.find(samples(spark, rows), registry(spark)))
+    assert len(plans) == 1 and "hashpartitioning" not in plans[0] and "CoGroup" not in plans[0]
+
+
+def test_shards_held_one_at_a_time():
+    import pyarrow as pa
+
+    read = []
+
+    def batches():
+        for part, texts in ((0, ["a", "b"]), (0, ["c"]), (1, ["d"]), (2, ["e", "f"])):
+            read.append(part)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(texts), pa.int32()), "no": pa.array([ord(t) for t in texts]), "text": pa.array(texts)})
+
+    got = [(numbers.tolist(), texts, list(read)) for numbers, texts in overlap.parts(batches())]
+    assert [g[1] for g in got] == [["a", "b", "c"], ["d"], ["e", "f"]] and [g[0] for g in got] == [[97, 98, 99], [100], [101, 102]]
+    assert got[0][2] == [0, 0, 1] and got[1][2] == [0, 0, 1, 2]
+
+
 def test_index_counts():
     import numpy as np
 
