@@ -28,10 +28,13 @@ class Pool:
 def build_pool(train: DataFrame, held: DataFrame, quarantine: DataFrame | None = None) -> Pool:
     """Decontaminate training samples against evaluation samples (both canonical) on their questions alone."""
     items = held.select("id", F.col("question").alias("text"), F.col("source").alias("eval_set"))
-    hits = materialise(decontaminate.scan(train.select("id", F.col("question").alias("text")), items))
-    clean = decontaminate.clean_pool(train, hits)
+    texts = train.select("id", F.col("question").alias("text"))
+    hits = materialise(decontaminate.scan(texts, items))
+    # the report's hits are the best of each item; what is removed is all
+    removing = materialise(decontaminate.contaminated_ids(decontaminate.contaminating(texts, items)))
+    clean = train.join(removing, "id", "left_anti")
     rows = decontaminate.report(hits, items).orderBy("eval_set").collect()
-    before, removed = train.count(), decontaminate.contaminated_ids(hits).count()
+    before, removed = train.count(), removing.count()
     lines = ["# Decontamination", "", f"{before} training rows, {removed} removed, {before - removed} kept.", "", "| set | size | contaminated | suspicious | unscannable |", "|---|---|---|---|---|"]
     lines += [f"| {r['eval_set']} | {r['size']} | {r['contaminated']} | {r['suspicious']} | {r['unscannable']} |" for r in rows]
     doubtful = decontaminate.top_suspicious(hits, items).orderBy("eval_set", "rank").collect()
